@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import op9_sharding
+from quern.llm import op6_bpe, op9_sharding
 from quern.session import configure
 
 
@@ -12,6 +12,7 @@ def _with_settings(query):
 
 def queries() -> dict:
     found = {
+        "op6_bpe": op6_bpe.query,
         "op9_sharding": op9_sharding.query,
     }
     return {name: _with_settings(query) for name, query in found.items()}
@@ -19,5 +20,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op6_bpe": op6_bpe.query,
         "op9_sharding": op9_sharding.oracle(),
     }
