@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import op3_packing, op6_bpe, op9_sharding
+from quern.llm import op1_aq, op3_packing, op6_bpe, op9_sharding
 from quern.session import configure
 
 
@@ -12,6 +12,7 @@ def _with_settings(query):
 
 def queries() -> dict:
     found = {
+        "op1_aq": op1_aq.query,
         "op3_packing": op3_packing.query,
         "op6_bpe": op6_bpe.query,
         "op9_sharding": op9_sharding.query,
@@ -21,7 +22,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_aq": op1_aq.query,
         "op3_packing": op3_packing.query,
         "op6_bpe": op6_bpe.query,
+        "op1_aq": op1_aq.oracle(),
         "op9_sharding": op9_sharding.oracle(),
     }
