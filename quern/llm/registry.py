@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import op1_aq, op3_packing, op6_bpe, op9_sharding
+from quern.llm import op1_aq, op3_packing, op6_bpe, op7_simhash, op9_sharding
 from quern.session import configure
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op1_aq": op1_aq.query,
         "op3_packing": op3_packing.query,
         "op6_bpe": op6_bpe.query,
+        "op7_simhash": op7_simhash.query,
         "op9_sharding": op9_sharding.query,
     }
     return {name: _with_settings(query) for name, query in found.items()}
