@@ -366,7 +366,7 @@ def _score(depth: int, tokens: int, distinct: int):
     return run
 
 
-def score(docs: DataFrame, depth: int = 5, folds: int = 7, held_out: int = 2) -> DataFrame:
+def score(docs: DataFrame, depth: int = 7, folds: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text).
 
     Rows whose fold is held_out are scored but not learnt from. docs must give the same rows in the same partitions
