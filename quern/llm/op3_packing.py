@@ -17,74 +17,85 @@ they occur; an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common
 
-#: Words that a worker remembers, of at most CACHED_BYTES each.
-CACHED_WORDS, CACHED_BYTES = 400_000, 64
+#: Bytes of texts in a lot.
+LOT = 4 << 20
 #: Above any count of pieces of one length, below what overflows when multiplied by a length.
 RANKS = 1 << 44
 
-_loaded: dict[str, tuple] = {}
 
+class Ids:
+    """A byte-level BPE tokenizer file, read by tokenizers, and its ids as little-endian unsigned 32-bit numbers.
 
-def _worker(path: str) -> tuple:
-    if path not in _loaded:
+    The file's merges are run by tiktoken's engine where that gives the same ids: it contracts whichever neighbours
+    make a token, the file only the pair that it lists for the token. If the file's own merges turn the bytes of every
+    token into that one token, no other neighbours that make it can ever stand side by side, and the two agree on every
+    text. That is tried for every token when a worker loads the file; otherwise, and for a text that may hold one of
+    the added tokens, tokenizers encodes.
+    """
+
+    def __init__(self, path: str, pattern: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    return _loaded[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        added = set(self.added)
+        vocabulary = {token: i for token, i in vocabulary.items() if token not in added}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.engine = None
+        model = self.tokenizer.model
+        if set(byte_of) <= set(vocabulary) and all([x.id for x in model.tokenize(token)] == [i] for token, i in vocabulary.items()):
+            ranks = {bytes([byte_of[c] for c in token]): i for token, i in vocabulary.items()}
+            self.engine = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def encode(self, text: str) -> bytes:
+        if self.engine is None or any(x in text for x in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.engine.encode_ordinary(text)
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
 
-def _ids(encodings: list) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in encodings]
 
+#: Whether array("I") holds little-endian unsigned 32-bit numbers here.
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
-def encode(texts: list[str], path: str, pattern: regex.Pattern) -> Iterator[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers.
+_loaded: dict[tuple[str, str], Ids] = {}
 
-    Merges never cross the words that the tokenizer's own pattern cuts, so each distinct word is given to the tokenizer
-    once. A text that may hold one of its added tokens goes to it whole.
-    """
-    tokenizer, cache = _worker(path)
-    added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    whole = [any(x in t for x in added) for t in texts]
-    split = [[] if w else pattern.findall(t) for t, w in zip(texts, whole, strict=True)]
-    distinct = dict.fromkeys(w for words in split for w in words)
-    known = {w: got for w in distinct if (got := cache.get(w)) is not None}
-    new = [w for w in distinct if w not in known]
-    known |= zip(new, _ids(tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True)
-    if len(cache) + len(new) > CACHED_WORDS:
-        cache.clear()
-    for word in new[:CACHED_WORDS]:
-        if len(word) <= CACHED_BYTES:
-            cache[word] = known[word]
-    for text, words, w in zip(texts, split, whole, strict=True):
-        yield _ids([tokenizer.encode(text, add_special_tokens=False)])[0] if w else b"".join([known[x] for x in words])
+
+def _worker(path: str, pattern: str) -> Ids:
+    if (path, pattern) not in _loaded:
+        _loaded[path, pattern] = Ids(path, pattern)
+    return _loaded[path, pattern]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, pattern: str, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary) of every piece of docs (doc_id, text)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, end = regex.compile(pattern), np.array([end_id], "<u4").tobytes()
-        for batch in common.batches(rows, 8 << 20):
+        encoder, end = _worker(tokenizer, pattern), np.array([end_id], "<u4").tobytes()
+        for batch in common.batches(rows, LOT):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for row, data in enumerate(encode(texts, tokenizer, cut)):
-                data += end
+            for row, text in enumerate(texts):
+                data = encoder.encode(text) + end
                 n = len(data) // 4
                 start, stop, k = 0, (n - 1) % capacity + 1, 0
                 while start < n:
