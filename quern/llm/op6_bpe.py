@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import common
 
-#: Words that a worker remembers, of at most CACHED_BYTES each; longer ones are encoded whenever they occur.
-CACHED_WORDS, CACHED_BYTES = 400_000, 64
+#: Words that a worker remembers, of at most CACHED_LENGTH characters; longer ones are encoded whenever they occur.
+CACHED_WORDS, CACHED_LENGTH = 500_000, 32
 #: Bytes of words in one recursive query, unless a single word is longer.
 LOT_BYTES = 500_000
 
@@ -98,7 +98,7 @@ class Bpe:
             lengths = np.array([len(words[i]) for i in rest], np.int64)
             data = np.frombuffer(b"".join(words[i] for i in rest), np.uint8)
             starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            seed = {"w": np.repeat(np.array(rest, np.int64), lengths), "pos": np.arange(len(data)) - starts, "tok": self.of_byte[data]}
+            seed = {"w": np.repeat(np.array(rest, np.int32), lengths), "pos": (np.arange(len(data)) - starts).astype(np.int32), "tok": self.of_byte[data]}
             self.db.register("seed", pa.table(seed))
             for w, ids, pieces in self.db.sql(CONTRACT).fetchall():
                 found[w] = (ids, b"".join(pieces))
@@ -126,35 +126,57 @@ def contract_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return [x for x in pieces if x]
 
 
-_loaded: dict[str, tuple[Bpe, dict[bytes, tuple[bytes, int, bytes]]]] = {}
+class Cache:
+    """The words met last, CACHED_WORDS to twice as many: word -> (ids in decimal joined by spaces, decoded bytes)."""
 
+    def __init__(self) -> None:
+        self.young: dict[bytes, tuple[bytes, bytes] | bytes] = {}
+        self.old: dict[bytes, tuple[bytes, bytes] | bytes] = {}
 
-def _worker(path: str) -> tuple[Bpe, dict]:
+    def put(self, word: bytes, found: tuple[bytes, bytes]) -> None:
+        if len(self.young) >= CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        # Where decoding gives the word back, it is kept once.
+        self.young[word] = found[0] if found[1] == word else found
+
+    def get(self, word: bytes) -> tuple[bytes, bytes] | None:
+        if (got := self.young.get(word)) is None:
+            if (got := self.old.get(word)) is None:
+                return None
+            if len(self.young) < CACHED_WORDS:
+                self.young[word] = got
+        return (got, word) if isinstance(got, bytes) else got
+
+
+_loaded: dict[str, tuple[Bpe, Cache]] = {}
+
+
+def _worker(path: str) -> tuple[Bpe, Cache]:
     if path not in _loaded:
-        _loaded[path] = (Bpe(path), {})
+        _loaded[path] = (Bpe(path), Cache())
     return _loaded[path]
 
 
 def encode(texts: list[str], path: str, pattern: regex.Pattern) -> Iterator[tuple[bytes, int, bytes]]:
     """(ids in decimal joined by spaces, their number, decoded bytes) of each text."""
     bpe, cache = _worker(path)
-    split = [[w.encode() for w in pattern.findall(t)] for t in texts]
-    known: dict[bytes, tuple[bytes, int, bytes]] = {}
-    new: list[bytes] = []
+    split = [pattern.findall(t) for t in texts]
+    ids_of: dict[str, bytes] = {}
+    decoded_of: dict[str, bytes] = {}
+    new: list[str] = []
     for word in dict.fromkeys(w for words in split for w in words):
-        if (got := cache.get(word)) is None:
+        if (got := cache.get(word.encode())) is None:
             new.append(word)
         else:
-            known[word] = got
-    if len(cache) + len(new) > CACHED_WORDS:
-        cache.clear()
-    for word, (ids, decoded) in zip(new, bpe.words(new), strict=True):
-        known[word] = (" ".join(map(str, ids)).encode(), len(ids), decoded)
-        if len(word) <= CACHED_BYTES and len(cache) < CACHED_WORDS:
-            cache[word] = known[word]
+            ids_of[word], decoded_of[word] = got
+    for word, (ids, decoded) in zip(new, bpe.words([w.encode() for w in new]), strict=True):
+        found = (" ".join(map(str, ids)).encode(), decoded)
+        ids_of[word], decoded_of[word] = found
+        if len(word) <= CACHED_LENGTH:
+            cache.put(word.encode(), found)
     for words in split:
-        found = [known[w] for w in words]
-        yield b" ".join([x[0] for x in found]), sum([x[1] for x in found]), b"".join([x[2] for x in found])
+        ids = b" ".join([ids_of[w] for w in words])
+        yield ids, ids.count(b" ") + 1 if words else 0, b"".join([decoded_of[w] for w in words])
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
