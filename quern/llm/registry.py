@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import op1_aq, op3_packing, op5_ctw, op6_bpe, op7_simhash, op9_sharding
+from quern.llm import op1_aq, op3_packing, op4_toxicity, op5_ctw, op6_bpe, op7_simhash, op9_sharding
 from quern.session import configure
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
     found = {
         "op1_aq": op1_aq.query,
         "op3_packing": op3_packing.query,
+        "op4_toxicity": op4_toxicity.query,
         "op5_ctw": op5_ctw.query,
         "op6_bpe": op6_bpe.query,
         "op7_simhash": op7_simhash.query,
@@ -26,6 +27,7 @@ def oracle_sql() -> dict:
     return {
         "op1_aq": op1_aq.query,
         "op3_packing": op3_packing.query,
+        "op4_toxicity": op4_toxicity.query,
         "op5_ctw": op5_ctw.query,
         "op6_bpe": op6_bpe.query,
         "op1_aq": op1_aq.oracle(),
