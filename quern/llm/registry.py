@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import op1_aq, op3_packing, op4_toxicity, op5_ctw, op6_bpe, op7_simhash, op9_sharding
+from quern.llm import op1_aq, op2_quality, op3_packing, op4_toxicity, op5_ctw, op6_bpe, op7_simhash, op9_sharding
 from quern.session import configure
 
 
@@ -13,6 +13,7 @@ def _with_settings(query):
 def queries() -> dict:
     found = {
         "op1_aq": op1_aq.query,
+        "op2_quality": op2_quality.query,
         "op3_packing": op3_packing.query,
         "op4_toxicity": op4_toxicity.query,
         "op5_ctw": op5_ctw.query,
@@ -31,5 +32,6 @@ def oracle_sql() -> dict:
         "op5_ctw": op5_ctw.query,
         "op6_bpe": op6_bpe.query,
         "op1_aq": op1_aq.oracle(),
+        "op2_quality": op2_quality.oracle(),
         "op9_sharding": op9_sharding.oracle(),
     }
