@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import op1_aq, op2_quality, op3_packing, op4_toxicity, op5_ctw, op6_bpe, op7_simhash, op9_sharding
+from quern.llm import op1_aq, op2_quality, op3_packing, op4_toxicity, op5_ctw, op6_bpe, op7_simhash, op8_suffix, op9_sharding
 from quern.session import configure
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op5_ctw": op5_ctw.query,
         "op6_bpe": op6_bpe.query,
         "op7_simhash": op7_simhash.query,
+        "op8_suffix": op8_suffix.query,
         "op9_sharding": op9_sharding.query,
     }
     return {name: _with_settings(query) for name, query in found.items()}
