@@ -8,11 +8,12 @@ texts, a choice's probability is the mixture over all depths with the weights th
 training never saw leaves its weight to the longest that it did. The score is the sum of log10 probabilities, and its
 negative times log2(10) over the bytes is the code length per byte.
 
-Distribution: texts are read in blocks of rows. A block reports its distinct (context, byte) strings with training
-counts, packed by bucket, a hash of the two nearest context bytes, so whatever grows is aggregated before it is
-shuffled. A bucket's task merges them and weighs the trees of depth `depth` to 2; the two shallowest levels, at most
-256 x 255 rows, are summed for all and shared. The task then sends each block the log probabilities of its own strings,
-and the block's texts add them up. Word counts for the unigram base go the same way, under XXH64 keys.
+Distribution: a partition's texts are taken in blocks of bounded size. A block reports its distinct (context, byte)
+strings with training counts, packed by bucket, a hash of the two nearest context bytes, so whatever grows is aggregated
+before it is shuffled. A bucket's task merges them and weighs the trees of depth `depth` to 2; the two shallowest levels,
+at most 256 x 255 rows, are summed for all and shared. With those a second pass over the buckets sends each block the
+log probabilities of its own strings, and the block's texts add them up. Word counts for the unigram base go the same
+way, under 64-bit hashes.
 
 Defined results: a null text is the empty text, one end token; repeated rows are counted as often as they occur; a null
 doc_id counts as the empty text in the fold; an empty table gives no rows; extra columns are not read.
@@ -25,68 +26,127 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common
 
 SPACE, END = 0x20, 0x0A
-#: Rows of a block, bytes of text that are counted or scored at once, and keys that are merged at once.
-BLOCK_ROWS, LOT, MERGE = 8192, 4 << 20, 4 << 20
+#: Bytes of text in a block (unless one text has more), and that are counted or scored at once; keys merged at once.
+BLOCK, LOT, MERGE = 24 << 20, 1 << 20, 4 << 20
 WORDS, STRINGS = 0, 1
-#: The key of the end token in the unigram base; words never hash to it more likely than to any other.
-END_KEY = xxhash.xxh64_intdigest(b"\n", 0)
+#: Random numbers by place and byte, whose sums are the keys of words of up to PLACES bytes; longer ones go by XXH64.
+PLACES = 64
+TABLE = np.random.default_rng(20).integers(0, 1 << 64, (PLACES, 256), np.uint64)
+#: The key of the end token in the unigram base.
+END_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n", 20))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """x byte by byte of its elements: like bytes side by side compress better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
 def _pack(keys: np.ndarray, values: np.ndarray) -> bytes:
-    """Sorted uint64 keys, with 8-byte values, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=np.uint64(0)).tobytes() + values.tobytes())
+    """Sorted uint64 keys with 4-byte values, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(_planes(np.diff(keys, prepend=np.uint64(0))) + _planes(values))
 
 
 def _unpack(data: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    half = len(raw) // 2
-    return np.cumsum(np.frombuffer(raw[:half], np.uint64), dtype=np.uint64), np.frombuffer(raw[half:], kind)
+    planes = np.frombuffer(raw, np.uint8).reshape(12, -1)
+    steps, values = (np.ascontiguousarray(x.T).view(t).ravel() for x, t in ((planes[:8], np.uint64), (planes[8:], kind)))
+    return np.cumsum(steps, dtype=np.uint64), values
+
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[starts], np.diff(np.append(starts, len(keys)))
 
-def _total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
-    k, c = np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
-    order = np.argsort(k)
+
+def _total(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts, from parts that are in order."""
+    if len(parts) == 1:
+        return parts[0]
+    k, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(k, kind="stable")
     k, c = k[order], c[order]
     starts = np.flatnonzero(np.diff(k, prepend=~k[:1]))
     return k[starts], np.add.reduceat(c, starts) if len(starts) else c
 
 
-def strings(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The strings of all bytes of the texts (given as words), in order, and the number of bytes of each text.
-
-    A string: context bytes from the nearest, then the byte, in one number; before a text there are zero bytes.
-    """
-    streams = [b" ".join(words) + b"\n" for words in texts]
-    lengths = np.array([len(s) for s in streams], np.int64)
-    pad = bytes(depth)
-    data = np.frombuffer(b"".join(pad + s for s in streams), np.uint8).astype(np.uint64)
-    n = len(data) - depth
-    out = data[depth:].copy()
-    for back in range(1, depth + 1):
-        out |= data[depth - back : depth - back + n] << np.uint64(8 * (depth + 1 - back))
-    keep = np.ones(n, bool)
-    ends = np.cumsum(lengths + depth)[:-1] - depth
-    for i in range(depth):
-        keep[ends + i] = False
-    return out[keep], lengths
-
-
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for w in words], np.uint64)
+class Streams:
+    """Texts (as words) in one run of bytes: before each, eight zero bytes; after each word a space, the end byte after the last."""
+
+    def __init__(self, texts: list[list[bytes]]) -> None:
+        streams = [b" ".join(words) + b"\n" for words in texts]
+        self.lengths = np.array([len(s) for s in streams], np.int64)
+        self.raw = b"".join([bytes(8) + s for s in streams])
+        self.starts = np.cumsum(self.lengths + 8) - self.lengths
+        self.at = np.arange(self.lengths.sum()) + np.repeat(self.starts - (np.cumsum(self.lengths) - self.lengths), self.lengths)
+        self.data = np.frombuffer(self.raw, np.uint8)
+        self.sizes = np.array([len(words) for words in texts], np.int64)
+
+    def strings(self, depth: int) -> np.ndarray:
+        """For each byte in turn: `depth` context bytes from the nearest, then the byte, in one number."""
+        before = np.ndarray((len(self.raw) - 7,), "<u8", self.raw, strides=(1,))[self.at - 8]
+        return (before >> np.uint64(8 * (8 - depth)) << np.uint64(8)) | self.data[self.at]
+
+    def keys(self) -> np.ndarray:
+        """For each text in turn, its words' keys and the end token's."""
+        text = self.data[self.at]
+        ends = np.flatnonzero((text == SPACE) | (text == END))  # words hold neither; an empty text is its end alone
+        first = np.append(0, ends[:-1] + 1)
+        place = np.arange(len(text)) - np.repeat(first, ends - first + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(TABLE[np.minimum(place, PLACES - 1), text], dtype=np.uint64)])
+        words = sums[ends] - sums[first]
+        for i in np.flatnonzero(ends - first > PLACES):
+            words[i] = xxhash.xxh64_intdigest(text[first[i] : ends[i]].tobytes(), 20)
+        # An end byte closes the text's last word, if it has any, and is a token itself.
+        tokens = np.full(len(self.sizes) + self.sizes.sum(), END_KEY)
+        mine = np.ones(len(tokens), bool)
+        mine[np.cumsum(self.sizes + 1) - 1] = False
+        tokens[mine] = words[ends > first] if len(words) else words
+        return tokens
+
+
+class Lookup:
+    """Values of distinct keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        rest, at = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(rest):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rest[free]
+            left = self.slots[at] != rest
+            rest, at = rest[left], (at[left] + 1) & (len(self.slots) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, wanted: np.ndarray) -> np.ndarray:
+        out = self.slots[at := self._first(wanted)]
+        left = np.flatnonzero((out < 0) | (self.keys[out] != wanted)) if len(self.keys) else np.arange(len(wanted))
+        while len(left):
+            if (out[left] < 0).any():
+                raise ValueError("a block's texts changed between two readings of the table")
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+            out[left] = self.slots[at[left]]
+            left = left[self.keys[out[left]] != wanted[left]]
+        return self.values[out]
 
 
 def _lots(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -104,47 +164,64 @@ def _lots(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def _bucket(keys: np.ndarray, kind: int, depth: int, buckets: int) -> np.ndarray:
     """A string's bucket depends on its two nearest context bytes, a word's on its key."""
     near = keys >> np.uint64(8 * (depth - 1)) if kind == STRINGS else keys >> np.uint64(20)
-    return (((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    return (((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A partition's rows with their block: a new one begins once the texts so far reach the next multiple of BLOCK bytes."""
+    first, size = TaskContext.get().partitionId() << 32, 0
+    for batch in rows:
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        own = (size + np.cumsum(lengths) - lengths) // BLOCK
+        size += int(lengths.sum())
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        for start, stop in zip(starts, [*starts[1:], len(own)], strict=True):
+            yield first + int(own[start]), batch.slice(start, stop - start)
+
+
+def _tag(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, batch in _blocks(rows):
+        yield batch.append_column("block", pa.array(np.full(batch.num_rows, block, np.int64)))
 
 
 def _count(depth: int, buckets: int):
-    """From rows (block, training, text) in order of block: (bucket, block, data), data holding keys and training counts."""
+    """From rows (training, text): (bucket, block, data), data holding a block's keys and their training counts."""
 
     def flush(block: int, found: dict) -> Iterator[pa.RecordBatch]:
-        for kind, (keys, counts) in found.items():
-            if not keys:
+        for kind, marks in found.items():
+            parts = [(k, c * train) for train, raw in marks.items() if raw for k, c in [_settled(raw)]]
+            if not parts:
                 continue
-            k, c = _total(keys, counts)
+            k, c = _total(parts)
             own = _bucket(k, kind, depth, buckets)
-            rows = [(b, _pack(k[own == b], c[own == b])) for b in np.unique(own)]
-            yield pa.RecordBatch.from_arrays([pa.array([kind * buckets + int(b) for b, _ in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "block", "data"])
+            order = np.argsort(own.astype(np.uint16) if buckets < 1 << 16 else own, kind="stable")
+            starts = np.flatnonzero(np.diff(own[order], prepend=-1))
+            for some in np.split(order, starts[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array([kind * buckets + int(own[some[0]])], pa.int64()), pa.array([block], pa.int64()), pa.array([_pack(k[some], c[some].astype(np.uint32))], pa.binary())], names=["bucket", "block", "data"])
+
+    def _settled(raw: list) -> tuple[np.ndarray, np.ndarray]:
+        """One part of a list of parts and of arrays of raw keys."""
+        keys = [x for x in raw if isinstance(x, np.ndarray)]
+        return _total([x for x in raw if isinstance(x, tuple)] + ([_distinct(np.concatenate(keys))] if keys else []))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, found = -1, {}
-        for batch in rows:
-            blocks, training, texts = (batch.column(c).to_pylist() for c in ("block", "training", "text"))
+        for own, batch in _blocks(rows):
+            if own != block:
+                yield from flush(block, found)
+                block, found = own, {kind: {True: [], False: []} for kind in (WORDS, STRINGS)}
+            training, texts = batch.column("training").to_pylist(), batch.column("text").to_pylist()
             for start, stop in _lots(texts):
-                at = start
-                while at < stop:
-                    end = next((i for i in range(at, stop) if blocks[i] != blocks[at]), stop)
-                    if blocks[at] != block:
-                        yield from flush(block, found)
-                        block, found = blocks[at], {WORDS: ([], []), STRINGS: ([], [])}
-                    for train in (True, False):
-                        words = [_words(t) for t, x in zip(texts[at:end], training[at:end], strict=True) if x == train]
-                        if words:
-                            s = strings(words, depth)[0]
-                            w = np.append(_hashes([x for ws in words for x in ws]), np.full(len(words), END_KEY, np.uint64))
-                            for kind, keys in ((WORDS, w), (STRINGS, s)):
-                                keys = np.sort(keys)
-                                starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-                                found[kind][0].append(keys[starts])
-                                found[kind][1].append(np.diff(np.append(starts, len(keys))) * train)
-                    for kind, (keys, counts) in found.items():
-                        if sum(map(len, keys)) > MERGE:
-                            k, c = _total(keys, counts)
-                            found[kind] = ([k], [c])
-                    at = end
+                for train in (True, False):
+                    words = [_words(t) for t, x in zip(texts[start:stop], training[start:stop], strict=True) if x == train]
+                    if not words:
+                        continue
+                    streams = Streams(words)
+                    for kind, keys in ((WORDS, streams.keys()), (STRINGS, streams.strings(depth))):
+                        raw = found[kind][train]
+                        raw.append(keys)
+                        if sum(len(x) for x in raw if isinstance(x, np.ndarray)) > MERGE:
+                            found[kind][train] = [_settled(raw)]
         yield from flush(block, found)
 
     return run
@@ -180,10 +257,9 @@ class Trees:
     """The trees' levels from `depth` up to 2 over one bucket's strings (sorted, distinct) and their counts."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int) -> None:
-        self.keys, self.depth, self.levels = keys, depth, {}
-        up = np.arange(len(keys))  # string -> entry of the level
+        self.depth, self.levels = depth, {}
         entries, n = keys, counts
-        below = None
+        parent = below = None  # entry of the level below -> entry
         for d in range(depth, 1, -1):
             if d < depth:
                 shorter = ((entries >> np.uint64(16)) << np.uint64(8)) | (entries & np.uint64(255))
@@ -192,7 +268,6 @@ class Trees:
                 parent = np.empty(len(shorter), np.int64)
                 parent[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(shorter))))
                 entries, n = shorter[order][starts], np.add.reduceat(n[order], starts) if len(starts) else n
-                up = parent[up]
             bits = []
             for k in range(8):
                 place = entries >> np.uint64(8 - k)  # context, and the k bits already chosen
@@ -210,7 +285,7 @@ class Trees:
                     weighted, weight = _mix(kt, sums, zeros + ones)
                 bits.append((node, zeros, ones, weight, starts, weighted))
             below = [(b[4], b[5]) for b in bits]
-            self.levels[d] = (up, [b[:4] for b in bits])
+            self.levels[d] = (entries, parent, [b[:4] for b in bits])
             self.top = (entries, [b[1:3] + b[4:] for b in bits])
 
     def sums(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -225,25 +300,34 @@ class Trees:
 
     def ln_probability(self, top: np.ndarray) -> np.ndarray:
         """ln of the probability of each string's byte after its context; top: see `shallow`."""
-        total = np.zeros(len(self.keys))
-        byte = (self.keys & np.uint64(255)).astype(np.int64)
-        near = (self.keys >> np.uint64(8 * self.depth)).astype(np.int64)
-        for k in range(8):
-            node, one = (1 << k) | (byte >> (8 - k)), ((byte >> (7 - k)) & 1).astype(bool)
-            so_far, left, last = np.zeros(len(byte)), np.ones(len(byte)), np.full(len(byte), 0.5)
-            steps = [top[:, 0, node], top[:, near + 1, node]]
-            for d in range(2, self.depth + 1):
-                up, bits = self.levels[d]
-                at, zeros, ones, weight = bits[k]
-                at = at[up]
-                steps.append(np.stack([zeros[at], ones[at], weight[at]]))
-            for zeros, ones, weight in steps:
-                seen = zeros + ones > 0
-                estimate = (np.where(one, ones, zeros) + 0.5) / (zeros + ones + 1)
-                so_far = so_far + left * weight * estimate
-                left = np.where(seen, left * (1 - weight), left)
-                last = np.where(seen, estimate, last)
-            total += np.log(so_far + left * last)
+
+        def step(state: tuple, zeros: np.ndarray, ones: np.ndarray, weight: np.ndarray, one: np.ndarray) -> tuple:
+            so_far, left, last = state
+            seen = zeros + ones > 0
+            estimate = (np.where(one, ones, zeros) + 0.5) / (zeros + ones + 1)
+            weight = left * weight
+            return so_far + weight * estimate, np.where(seen, left - weight, left), np.where(seen, estimate, last)
+
+        states: list[tuple] = []
+        total = np.zeros(0)
+        for d in range(2, self.depth + 1):
+            entries, _, bits = self.levels[d]
+            byte = (entries & np.uint64(255)).astype(np.int64)
+            up = self.levels[d - 1][1] if d > 2 else None
+            total = np.zeros(len(entries))
+            for k, (at, zeros, ones, weight) in enumerate(bits):
+                one = ((byte >> (7 - k)) & 1).astype(bool)
+                if up is None:
+                    node, near = (1 << k) | (byte >> (8 - k)), (entries >> np.uint64(16)).astype(np.int64)
+                    state = (np.zeros(len(byte)), np.ones(len(byte)), np.full(len(byte), 0.5))
+                    for place in (0, near + 1):
+                        state = step(state, top[0, place, node], top[1, place, node], top[2, place, node], one)
+                    states.append(state)
+                else:
+                    states[k] = tuple(x[up] for x in states[k])
+                states[k] = step(states[k], zeros[at], ones[at], weight[at], one)
+                if d == self.depth:
+                    total += np.log(states[k][0] + states[k][1] * states[k][2])
         return total
 
 
@@ -264,63 +348,58 @@ def shallow(rows: list[tuple[int, int, int, float]]) -> np.ndarray:
     return top
 
 
-def _merge(depth: int, buckets: int):
-    """From rows (bucket, block, data) in order of bucket: a row of each whole bucket, and its sums for the shallow levels.
+def _by_bucket(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]], np.ndarray, np.ndarray]]:
+    """From rows (bucket, block, data) in order of bucket: each bucket, its blocks' data (packed), and their total."""
+
+    def settle(bucket: int, held: list) -> tuple:
+        parts, size = [], 0
+        for _, data in held:
+            k, c = _unpack(data, np.uint32)
+            parts.append((k, c.astype(np.int64)))
+            size += len(k)
+            if size > MERGE:
+                parts = [_total(parts)]
+                size = len(parts[0][0])
+        return bucket, held, *_total(parts)
+
+    bucket, held = -1, []
+    for batch in rows:
+        for own, block, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "data")), strict=True):
+            if own != bucket and held:
+                yield settle(bucket, held)
+                held = []
+            bucket = own
+            held.append((block, data))
+    if held:
+        yield settle(bucket, held)
 
-    Columns: bucket, data (whole bucket); near, zeros, ones, ln (its sums; of a bucket of words: -1, tokens, distinct).
-    """
-    names = ["bucket", "data", "near", "zeros", "ones", "ln"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-
-    def out(*columns: list) -> pa.RecordBatch:
-        n = max(len(c) for c in columns if c is not None)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    def flush(bucket: int, keys: list, counts: list) -> Iterator[pa.RecordBatch]:
-        if not keys:
-            return
-        k, c = _total(keys, counts)
-        yield out([bucket], [_pack(k, c)], None, None, None, None)
-        if bucket < buckets:
-            yield out(None, None, [-1], [int(c.sum())], [int((c > 0).sum())], None)
-            return
-        for near, zeros, ones, ln in Trees(k, c, depth).sums():
-            places, at = np.unique(near, return_inverse=True)
-            size = len(places)
-            yield out(None, None, places, np.bincount(at, zeros, size).astype(np.int64), np.bincount(at, ones, size).astype(np.int64), np.bincount(at, ln, size))
+
+def _sums(depth: int, buckets: int):
+    """The buckets' sums for the shallow levels: (near, zeros, ones, ln); of a bucket of words (-1, tokens, distinct, 0)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, keys, counts = -1, [], []
-        for batch in rows:
-            for own, data in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
-                if own != bucket:
-                    yield from flush(bucket, keys, counts)
-                    bucket, keys, counts = own, [], []
-                k, c = _unpack(data.as_py(), np.int64)
-                keys.append(k)
-                counts.append(c)
-                if sum(map(len, keys)) > MERGE:
-                    keys, counts = ([x] for x in _total(keys, counts))
-        yield from flush(bucket, keys, counts)
+        for bucket, _, k, c in _by_bucket(rows):
+            if bucket < buckets:
+                columns = [(np.array([-1]), c.sum(keepdims=True), (c > 0).sum(keepdims=True), np.zeros(1))]
+            else:
+                columns = Trees(k, c, depth).sums()
+            for near, zeros, ones, ln in columns:
+                places, at = np.unique(near, return_inverse=True)
+                sums = [np.bincount(at, x, len(places)) for x in (zeros, ones, ln)]
+                yield pa.RecordBatch.from_arrays([pa.array(places), *[pa.array(x.astype(np.int64)) for x in sums[:2]], pa.array(sums[2])], names=["near", "zeros", "ones", "ln"])
 
     return run
 
 
 def _answer(depth: int, buckets: int, top):
-    """From rows (bucket, block, data) in order of bucket, the whole bucket (block -1) first: (kind, block, data).
-
-    data: each block's keys with their training counts (words) or ln probabilities (strings).
-    """
+    """(kind, block, data): each block's keys with their training counts (words) or ln probabilities (strings)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = values = None
-        for batch in rows:
-            for bucket, block, data in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), batch.column("data"), strict=True):
-                kind = bucket // buckets
-                k, c = _unpack(data.as_py(), np.int64)
-                if block < 0:
-                    keys, values = k, c.astype(np.float64) if kind == WORDS else Trees(k, c, depth).ln_probability(top.value)
-                    continue
+        for bucket, held, keys, counts in _by_bucket(rows):
+            kind = bucket // buckets
+            values = counts.astype(np.uint32) if kind == WORDS else Trees(keys, counts, depth).ln_probability(top.value).astype(np.float32)
+            for block, data in held:
+                k = _unpack(data, np.uint32)[0]
                 found = _pack(k, values[np.searchsorted(keys, k)])
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([block], pa.int64()), pa.array([found], pa.binary())], names=["kind", "block", "data"])
 
@@ -330,64 +409,49 @@ def _answer(depth: int, buckets: int, top):
 def _score(depth: int, tokens: int, distinct: int):
     """From a block's texts and its answers: the scores of its texts."""
 
-    def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys)
-        at = np.minimum(np.searchsorted(table[0], keys[order]), len(table[0]) - 1)
-        if not np.array_equal(table[0][at], keys[order]):
-            raise ValueError("a block's texts changed between two readings of the table")
-        out = np.empty(len(keys))
-        out[order] = table[1][at]
-        return out
-
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         found: dict[int, list] = {WORDS: [], STRINGS: []}
         for kind, data in zip(answers.column("kind").to_pylist(), answers.column("data"), strict=True):
-            found[kind].append(_unpack(data.as_py(), np.float64))
-        tables = {}
-        for kind, parts in found.items():
-            keys, values = (np.concatenate([p[i] for p in parts]) for i in range(2))
-            order = np.argsort(keys)
-            tables[kind] = (keys[order], values[order])
+            found[kind].append(_unpack(data.as_py(), np.uint32 if kind == WORDS else np.float32))
+        counts, ln = (Lookup(*[np.concatenate([p[i] for p in found[kind]]) for i in range(2)]) for kind in (WORDS, STRINGS))
         whole = texts.column("text").to_pylist()
-        n, known, base, score = [], [], [], []
+        out: tuple[list, ...] = ([], [], [], [])
         for start, stop in _lots(whole):
-            words = [_words(t) for t in whole[start:stop]]
-            keys, lengths = strings(words, depth)
-            score.append(np.add.reduceat(look(tables[STRINGS], keys), np.cumsum(lengths) - lengths) / math.log(10))
-            sizes = np.array([len(w) + 1 for w in words], np.int64)
-            at = np.cumsum(sizes) - sizes
-            counts = look(tables[WORDS], np.concatenate([np.append(_hashes(w), np.uint64(END_KEY)) for w in words]))
-            n.append(sizes)
-            known.append(np.add.reduceat((counts > 0).astype(np.int64), at))
-            base.append(np.add.reduceat(np.log10((counts + 1) / (tokens + distinct + 1)), at))
-        columns = [texts.column("doc_id"), texts.column("held_out"), *[pa.array(np.concatenate(x)) for x in (n, known)], pa.array(np.full(len(whole), tokens)), *[pa.array(np.concatenate(x)) for x in (base, score)]]
+            streams = Streams([_words(t) for t in whole[start:stop]])
+            sizes = streams.sizes + 1
+            n = counts.get(streams.keys()).astype(np.float64)
+            ends, tops = np.cumsum(streams.lengths), np.cumsum(sizes)
+            found_ln = np.add.reduceat(ln.get(streams.strings(depth)).astype(np.float64), ends - streams.lengths)
+            base = np.add.reduceat(np.log10((n + 1) / (tokens + distinct + 1)), tops - sizes)
+            for column, x in zip(out, (sizes, np.add.reduceat((n > 0).astype(np.int64), tops - sizes), base, found_ln / math.log(10)), strict=True):
+                column.append(x)
+        sizes, known, base, score = (np.concatenate(x) for x in out)
+        columns = [texts.column("doc_id"), texts.column("held_out"), pa.array(sizes), pa.array(known), pa.array(np.full(len(whole), tokens)), pa.array(base), pa.array(score)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, depth: int = 7, folds: int = 7, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text).
+def score(docs: DataFrame, depth: int = 6, folds: int = 7, held_out: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text); depth: 2 to 7.
 
     Rows whose fold is held_out are scored but not learnt from. docs must give the same rows in the same partitions
-    whenever it is read: a table or a checkpoint, not the outcome of a shuffle.
+    whenever it is read: a table or a checkpoint, not the outcome of a shuffle; a difference raises an error.
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    row = F.monotonically_increasing_id()
-    rows = docs.select("doc_id", "text", (common.fold(F.col("doc_id"), folds) == held_out).alias("held_out"), (F.shiftright(row, 33) * (1 << 30) + F.floor(row.bitwiseAND((1 << 33) - 1) / BLOCK_ROWS)).alias("block"))
-    counted = rows.select("block", (~F.col("held_out")).alias("training"), "text").mapInArrow(_count(depth, buckets), "bucket long, block long, data binary")
+    held = common.fold(F.col("doc_id"), folds) == held_out
+    counted = docs.select((~held).alias("training"), "text").mapInArrow(_count(depth, buckets), "bucket long, block long, data binary")
     counted = common.checkpointed(counted.repartition("bucket").sortWithinPartitions("bucket"))
-    merged = common.checkpointed(counted.mapInArrow(_merge(depth, buckets), "bucket long, data binary, near long, zeros long, ones long, ln double"))
     # At most 256 x 255 rows and one more.
-    sums = merged.where("near is not null").groupBy("near").agg(F.sum("zeros"), F.sum("ones"), F.sum("ln")).collect()
+    sums = counted.mapInArrow(_sums(depth, buckets), "near long, zeros long, ones long, ln double")
+    sums = sums.groupBy("near").agg(F.sum("zeros"), F.sum("ones"), F.sum("ln")).collect()
     tokens, distinct = next(((r[1], r[2]) for r in sums if r[0] < 0), (0, 0))
     top = spark.sparkContext.broadcast(shallow([tuple(r) for r in sums if r[0] >= 0]))
-    whole = merged.where("data is not null").select("bucket", F.lit(-1).cast("long").alias("block"), "data")
-    asked = whole.union(counted).repartition("bucket").sortWithinPartitions("bucket", "block")
-    answers = asked.mapInArrow(_answer(depth, buckets, top), "kind long, block long, data binary")
+    answers = counted.mapInArrow(_answer(depth, buckets, top), "kind long, block long, data binary")
+    texts = docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(_tag, "doc_id long, held_out boolean, text string, block long")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, tokens, distinct), schema)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, tokens, distinct), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
