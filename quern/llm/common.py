@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,17 +19,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut df's lineage with a reliable checkpoint in spark.checkpoint.dir.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for cut lineages: the session's spark.checkpoint.dir.
 
     Only where that setting is absent and no folder was chosen (tests, local mode) one is made.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+    context = spark.sparkContext
+    own = context._jsc.sc().getCheckpointDir()
+    if not context.getConf().get("spark.checkpoint.dir") and own.isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        own = context._jsc.sc().getCheckpointDir()
+    return own.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut df's lineage with a reliable checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def _new_path(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, whose files go when the application ends."""
+    path = f"{checkpoint_folder(spark)}/quern_{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the checkpoint folder and read again."""
+    path = _new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def bucketed(df: DataFrame, by: str) -> DataFrame:
+    """df as a written table in the checkpoint folder, bucketed by a column, so that joins on it don't shuffle df again.
+
+    Only its files stay, until the application ends.
+    """
+    spark = df.sparkSession
+    name, path = f"quern_{uuid.uuid4().hex}", _new_path(spark)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, by).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved, with its buckets, before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of doc_id's decimal text, modulo folds; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

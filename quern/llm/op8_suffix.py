@@ -363,7 +363,17 @@ def covered(docs: DataFrame, length: int = 400, largest: int = LARGEST) -> DataF
     return found.where("h is null").select("group", "rid", "start", "size").union(trees)
 
 
-def _removed(columns: list[str]):
+def _whole(data: bytes, start: int, stop: int) -> tuple[int, int]:
+    """The part of data[start:stop] that is whole UTF-8 characters."""
+    inner = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
+    while start < stop and inner(start):
+        start += 1
+    while stop > start and inner(stop):
+        stop -= 1
+    return start, stop
+
+
+def _removed(columns: list[str], characters: bool):
     """From rows (columns, packed, spans): the columns, n_bytes, n_removed, n_spans and the remaining bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,19 +382,20 @@ def _removed(columns: list[str]):
             out: tuple[list, ...] = ([], [], [], [])
             for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = unpack(packed)
-                pieces, at, removed, runs = [], 0, 0, 0
-                end = -1
+                runs: list[tuple[int, int]] = []
                 for start, stop in sorted((s["start"], s["start"] + s["size"]) for s in spans or ()):
-                    if start > end:
-                        pieces.append(data[at:start])
-                        runs += 1
-                        removed += stop - start
-                    elif stop > end:
-                        removed += stop - end
-                    end = max(end, stop)
-                    at = end
+                    if runs and start <= runs[-1][1]:
+                        runs[-1] = (runs[-1][0], max(stop, runs[-1][1]))
+                    else:
+                        runs.append((start, stop))
+                if characters:
+                    runs = [_whole(data, *x) for x in runs]
+                pieces, at = [], 0
+                for start, stop in runs:
+                    pieces.append(data[at:start])
+                    at = stop
                 pieces.append(data[at:])
-                for column, x in zip(out, (len(data), removed, runs, b"".join(pieces)), strict=True):
+                for column, x in zip(out, (len(data), sum(y - x for x, y in runs), len(runs), b"".join(pieces)), strict=True):
                     column.append(x)
             numbers = [pa.array(x, pa.int64()) for x in out[:3]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *numbers, pa.array(out[3], pa.binary())], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"])
@@ -392,10 +403,11 @@ def _removed(columns: list[str]):
     return run
 
 
-def dedup(docs: DataFrame, *keep: str, length: int = 400, largest: int = LARGEST) -> DataFrame:
+def dedup(docs: DataFrame, *keep: str, length: int = 400, largest: int = LARGEST, characters: bool = False) -> DataFrame:
     """The columns to keep of docs (those and text), with n_bytes, n_removed, n_spans and kept, the remaining bytes.
 
-    docs must give the same rows in the same partitions whenever it is read: a table or a checkpoint.
+    characters: remove whole UTF-8 characters only, so that what remains is text. docs must give the same rows in the same
+    partitions whenever it is read: a table or a checkpoint.
     """
     own = [f"__{i}" for i in range(len(keep))]
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], "text")
@@ -403,7 +415,7 @@ def dedup(docs: DataFrame, *keep: str, length: int = 400, largest: int = LARGEST
     kinds = ", ".join(f"{o} {rows.schema[o].dataType.simpleString()}" for o in own)
     texts = rows.mapInArrow(_packed, f"rid long, {kinds}, packed binary")
     out = texts.join(spans, "rid", "left").select(*own, "packed", "spans")
-    out = out.mapInArrow(_removed(own), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = out.mapInArrow(_removed(own, characters), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnsRenamed(dict(zip(own, keep, strict=True)))
 
 
