@@ -24,8 +24,8 @@ from quern.llm import common
 from quern.llm.components import components
 
 CHARS = 8
-#: At similarity 0.8 a pair meets under one key with probability 1 - (1 - 0.8^3)^7 = 0.993, at 0.9 with 0.9999.
-BANDS, ROWS = 7, 3
+#: At similarity 0.8 a pair meets under one key with probability 1 - (1 - 0.8^4)^8 = 0.985, at 0.9 with 0.9998.
+BANDS, ROWS = 8, 4
 #: Of lines of over LONG characters, signatures take the shingles whose hash ends in two zero bits; verification all.
 LONG = 128
 #: Odd multipliers of the hash functions, from a rule: powers of a 64-bit constant.
@@ -53,38 +53,43 @@ def _last(units: Column) -> Column:
 
 
 def keys_of(lines: DataFrame) -> DataFrame:
-    """id, keys (one for each band) of lines (id, line)."""
-    units = lines.select("id", F.encode("line", "UTF-16BE").alias("u"))
-    shingles = units.select("id", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
-    shingles = shingles.select("id", _shingle(F.col("u"), F.col("i")).alias("h"), (F.octet_length("u") > 2 * LONG).alias("long"))
+    """id, often, keys (one for each band) of lines (id, line, often); without a shuffle if they lie by id."""
+    units = lines.select("id", "often", F.encode("line", "UTF-16BE").alias("u"))
+    shingles = units.select("id", "often", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
+    shingles = shingles.select("id", "often", _shingle(F.col("u"), F.col("i")).alias("h"), (F.octet_length("u") > 2 * LONG).alias("long"))
     shingles = shingles.where(~F.col("long") | (F.col("h").bitwiseAND(3) == 0))
-    least = shingles.groupBy("id").agg(*[F.min(F.col("h") * F.lit(_signed(a))).alias(f"m{k}") for k, a in enumerate(MULTIPLIERS)])
+    least = shingles.groupBy("id", "often").agg(*[F.min(F.col("h") * F.lit(_signed(a))).alias(f"m{k}") for k, a in enumerate(MULTIPLIERS)])
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return least.select("id", F.array(*bands).alias("keys"))
+    return least.select("id", "often", F.array(*bands).alias("keys"))
 
 
 def similar_pairs(pairs: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b) of line ids whose shingle sets have a Jaccard similarity of `similar` or more."""
 
-    def shingles(units: str) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(F.col(units))), lambda i: _shingle(F.col(units), i)))
+    def shingles(units: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(units)), lambda i: _shingle(units, i)))
 
-    texts = lines.select("id", F.encode("line", "UTF-16BE").alias("u"))
-    found = pairs.join(texts.toDF("a", "ua"), "a").join(texts.toDF("b", "ub"), "b")
-    found = found.select("a", "b", shingles("ua").alias("sa"), shingles("ub").alias("sb"))
-    found = found.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return found.where(F.col("both") >= similar * (F.col("n") - F.col("both"))).select("a", "b")
+    # The pairs are hashed, so that the lines stream past them without being sorted.
+    texts = lines.select("id", "line")
+    found = texts.toDF("a", "la").join(pairs.hint("shuffle_hash"), "a")
+    found = texts.toDF("b", "lb").join(found.hint("shuffle_hash"), "b")
+    # Lambdas over arrays of one bind what is used twice, so that each set is made once.
+    units = F.array(F.struct(F.encode("la", "UTF-16BE").alias("a"), F.encode("lb", "UTF-16BE").alias("b")))
+    sets = F.transform(units, lambda u: F.struct(shingles(u["a"]).alias("a"), shingles(u["b"]).alias("b")))
+    counts = F.transform(sets, lambda x: F.struct((F.size(x["a"]) + F.size(x["b"])).alias("n"), F.size(F.array_intersect(x["a"], x["b"])).alias("both")))
+    return found.where(F.exists(counts, lambda y: y["both"] >= similar * (y["n"] - y["both"]))).select("a", "b")
 
 
 def kept_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     """rid, pos of the lines of docs (rid, text) that are the first of their component."""
     distinct = lines_of(docs).groupBy("id").agg(F.min("line").alias("line"), F.min(F.struct("rid", "pos")).alias("place"), F.count(F.lit(1)).alias("n"))
-    lines = common.bucketed(distinct.join(keys_of(distinct.select("id", "line")), "id"), "id")
-    # 0: the most frequent class of lines; 7: met once.
+    # From here on the lines' text is not shuffled again.
+    lines = common.bucketed(distinct, "id")
+    # 0: the most frequent class of lines; 7: met once. Both uses of `banded` read one shuffle, so they take the same columns.
     often = F.lit(7) - F.least(F.lit(7), F.floor(F.log2("n"))).cast("int")
-    banded = lines.select(F.explode("keys").alias("key"), often.alias("often"), "id").repartition("key")
+    banded = keys_of(lines.select("id", "line", often.alias("often"))).select(F.explode("keys").alias("key"), "id", "often").repartition("key")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", "often").alias("first")).where("n > 1").drop("n")
-    members = common.checkpointed(banded.join(shared, "key").select("key", "id", "first"))
+    members = common.checkpointed(banded.join(shared, "key").select("key", "id", "first", "often")).drop("often")
     texts = lines.select("id", "line")
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = common.checkpointed(similar_pairs(stars, texts, similar))
