@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common, op2_quality, op3_packing, op7_simhash, op8_suffix, op10_lines
+from quern.session import configure
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -27,6 +28,7 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep."""
+    configure(spark)
     rows = _numbered(docs)
     figures = op2_quality.base(rows.select("doc_id", "text", "lang", "source", F.col("__rid").alias("rid")), "rid", "lang", "source")
     kept = op2_quality.verdicts(figures).where("kept").select(F.col("rid").alias("__rid"))
@@ -35,12 +37,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier one has nearly the same."""
+    configure(spark)
     found = op10_lines.dedup(docs)
     return _with_text(found.withColumn("text", op10_lines.remaining(F.split("text", "\n"), F.col("__kept"))), docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first, of each group of near duplicates."""
+    configure(spark)
     rows = _numbered(docs)
     found = op7_simhash.near_duplicates(rows.select(F.col("__rid").alias("doc_id"), "text"))
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__rid"))
@@ -49,6 +53,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without what is covered by strings of 400 bytes that also start elsewhere (whole characters)."""
+    configure(spark)
     rest = [c for c in docs.columns if c != "text"]
     found = op8_suffix.dedup(docs, *rest, characters=True)
     return _with_text(found.withColumn("text", F.col("kept").cast("string")), docs.columns)
@@ -56,6 +61,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 2048 tokens."""
+    configure(spark)
     return op3_packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
