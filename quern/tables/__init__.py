@@ -1 +1 @@
-"""quern.tables."""
+"""Versioned tables: immutable Parquet files under JSON metadata, replaced atomically."""
