@@ -224,7 +224,7 @@ def _count(depth: int, buckets: int):
                             found[kind][train] = [_settled(raw)]
         yield from flush(block, found)
 
-    return run
+    return common.released(run)
 
 
 _SMALL = 1 << 12
@@ -388,7 +388,7 @@ def _sums(depth: int, buckets: int):
                 sums = [np.bincount(at, x, len(places)) for x in (zeros, ones, ln)]
                 yield pa.RecordBatch.from_arrays([pa.array(places), *[pa.array(x.astype(np.int64)) for x in sums[:2]], pa.array(sums[2])], names=["near", "zeros", "ones", "ln"])
 
-    return run
+    return common.released(run)
 
 
 def _answer(depth: int, buckets: int, top):
@@ -403,7 +403,7 @@ def _answer(depth: int, buckets: int, top):
                 found = _pack(k, values[np.searchsorted(keys, k)])
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([block], pa.int64()), pa.array([found], pa.binary())], names=["kind", "block", "data"])
 
-    return run
+    return common.released(run)
 
 
 def _score(depth: int, tokens: int, distinct: int):

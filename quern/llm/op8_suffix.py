@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 #: Bytes of an anchor.
-GRAM = 32
+GRAM = 64
 #: Bytes of text that are hashed at once (unless one text has more), and anchors that are combined at once.
-LOT, COMBINE = 1 << 19, 1 << 20
-#: Different segments of an anchor that are compared in one task.
-LARGEST = 4096
+LOT, COMBINE = 1 << 19, 1 << 17
+#: Different segments of an anchor that are compared in one task, and anchors with more that may be broadcast.
+LARGEST, BROADCAST = 4096, 100_000
 ROWS = "group long, rid long, start long, size long"
 ANCHORS = "h long, s1 long, s2 long, m long, rid long, lo long, hi long, p long"
 
@@ -52,7 +52,7 @@ def gram_hashes(data: bytes) -> np.ndarray:
     """A hash of each string of GRAM bytes in data."""
     n = len(data) - GRAM + 1
     h = _mix(np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).copy())
-    for step in (8, 16):
+    for step in (8, 16, 32):
         h = _mix(h[:-step] * np.uint64(0xC2B2AE3D27D4EB4F) + h[step:])
     return h[:n]
 
@@ -103,7 +103,7 @@ def _lots(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[byt
 def _segments(length: int):
     """From rows (rid, text): ANCHORS, one for each different segment of a partition, and ROWS of those it has several of."""
 
-    def combine(parts: list[tuple]) -> pa.RecordBatch:
+    def combine(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, s1, s2, rid, lo, hi, p = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((s2, s1))
         h, s1, s2, rid, lo, hi, p = (x[order] for x in (h, s1, s2, rid, lo, hi, p))
@@ -118,7 +118,9 @@ def _segments(length: int):
         extra = [pa.array(rid[repeated] * np.int64(0x2545F4914F6CDD1D)), *[pa.nulls(int(repeated.sum()), pa.int64())] * 7]
         columns = [pa.concat_arrays([a, b]) for a, b in zip(kept, extra, strict=True)]
         columns += [pa.concat_arrays([pa.nulls(len(starts), pa.int64()), x]) for x in found]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        whole = pa.RecordBatch.from_arrays(columns, names=names)
+        for at in range(0, whole.num_rows, 1 << 14):
+            yield whole.slice(at, 1 << 14)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -137,12 +139,12 @@ def _segments(length: int):
             parts.append((h, s1, s2, rids[keep][text], lo, hi, p))
             n += len(h)
             if n > COMBINE:
-                yield combine(parts)
+                yield from combine(parts)
                 parts, n = [], 0
         if parts:
-            yield combine(parts)
+            yield from combine(parts)
 
-    return run
+    return common.released(run)
 
 
 def _row_columns(group: np.ndarray, rid: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[pa.Array]:
@@ -200,7 +202,7 @@ def _classes(length: int):
         if held is not None and len(held["h"]):
             yield settle(held)
 
-    return run
+    return common.released(run)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -282,7 +284,7 @@ def _trees(length: int):
             yield _rows(out)
         yield _rows(list(settle(held)))
 
-    return run
+    return common.released(run)
 
 
 def _rows(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
@@ -315,7 +317,7 @@ def _cut(length: int):
                     out = []
             yield _segment_batch(out)
 
-    return run
+    return common.released(run)
 
 
 def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -336,13 +338,14 @@ def _split(segments: DataFrame, length: int, largest: int) -> DataFrame:
     while True:
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > largest)
         sizes = common.checkpointed(sizes.select("key"))
-        if not sizes.count():
+        if not (n := sizes.count()):
             return rows if done is None else done.unionByName(rows)
-        rest = rows.join(sizes, "key", "left_anti").unionByName(rows.join(sizes, "key", "left_semi").where("u = v"))
-        done = common.checkpointed(rest) if done is None else done.unionByName(common.checkpointed(rest))
+        sizes = F.broadcast(sizes) if n <= BROADCAST else sizes
+        rest = rows.join(sizes, "key", "left_anti").unionByName(rows.where("u = v").join(sizes, "key", "left_semi"))
+        done = rest if done is None else done.unionByName(rest)
         middle = F.floor((F.col("u") + F.col("v")) / 2).cast("int")
         halves = F.array(F.struct(F.col("u"), middle.alias("v")), F.struct((middle + 1).alias("u"), F.col("v")))
-        large = rows.join(sizes, "key", "left_semi").where("u < v").withColumn("half", F.explode(halves)).drop("u", "v").select("*", "half.*").drop("half")
+        large = rows.where("u < v").join(sizes, "key", "left_semi").withColumn("half", F.explode(halves)).drop("u", "v").select("*", "half.*").drop("half")
         # A segment's own windows: from length - (bytes from the anchor on) to a bytes before it.
         most, least = F.col("a"), F.greatest(F.lit(0), length - (F.octet_length("bytes") - F.col("a")))
         large = large.where((F.greatest("u", least)) <= F.least("v", most))
@@ -356,8 +359,8 @@ def covered(docs: DataFrame, length: int = 400, largest: int = LARGEST) -> DataF
     met = docs.select("rid", "text").mapInArrow(_segments(length), schema).repartition("h").sortWithinPartitions("h", "s1", "s2")
     found = common.checkpointed(met.mapInArrow(_classes(length), f"{ROWS}, h long, lo long, hi long, p long, single boolean"))
     wanted = found.where("h is not null").groupBy("rid").agg(F.collect_list(F.struct("h", "lo", "hi", "p", "single")).alias("wanted"))
-    texts = docs.select("rid", "text").mapInArrow(_packed, "rid long, packed binary")
-    segments = texts.join(wanted, "rid").mapInArrow(_cut(length), "key long, rid long, p long, a long, single boolean, bytes binary")
+    texts = docs.select("rid", "text").mapInArrow(common.released(_packed), "rid long, packed binary")
+    segments = texts.join(wanted.hint("shuffle_hash"), "rid").mapInArrow(_cut(length), "key long, rid long, p long, a long, single boolean, bytes binary")
     segments = _split(common.checkpointed(segments), length, largest)
     trees = segments.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(length), ROWS)
     return found.where("h is null").select("group", "rid", "start", "size").union(trees)
@@ -400,7 +403,7 @@ def _removed(columns: list[str], characters: bool):
             numbers = [pa.array(x, pa.int64()) for x in out[:3]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *numbers, pa.array(out[3], pa.binary())], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return run
+    return common.released(run)
 
 
 def dedup(docs: DataFrame, *keep: str, length: int = 400, largest: int = LARGEST, characters: bool = False) -> DataFrame:
@@ -413,8 +416,8 @@ def dedup(docs: DataFrame, *keep: str, length: int = 400, largest: int = LARGEST
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], "text")
     spans = covered(rows, length, largest).groupBy("rid").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     kinds = ", ".join(f"{o} {rows.schema[o].dataType.simpleString()}" for o in own)
-    texts = rows.mapInArrow(_packed, f"rid long, {kinds}, packed binary")
-    out = texts.join(spans, "rid", "left").select(*own, "packed", "spans")
+    texts = rows.mapInArrow(common.released(_packed), f"rid long, {kinds}, packed binary")
+    out = texts.join(spans.hint("shuffle_hash"), "rid", "left").select(*own, "packed", "spans")
     out = out.mapInArrow(_removed(own, characters), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnsRenamed(dict(zip(own, keep, strict=True)))
 
