@@ -115,7 +115,8 @@ def assign(docs: DataFrame, tree: Tree) -> DataFrame:
         F.lit("key").alias("law"),
     )
     rows = shard_of(rows, F.col("doc_id"), tree, "shard")
-    rows = shard_of(rows, F.col("doc_id"), tree.grow(), "grown_shard")
+    # Ranking reads these rows several times, the texts only once.
+    rows = common.checkpointed(shard_of(rows, F.col("doc_id"), tree.grow(), "grown_shard"))
     rows = with_slots(rows, "shard", "doc_id", tree.shards)
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), "grown_shard")
 
