@@ -186,7 +186,7 @@ def score(
     order: int = 8,
     discount: float = 0.97,
     floor: float = 3.0,
-    most_strings: int = 2_000_000,
+    most_strings: int = 1_500_000,
     folds: int = 4,
     held_out: int = 2,
     threshold: float = 0.3,
@@ -225,6 +225,7 @@ def score(
     toxic, ordinary = (rows.column(c).to_numpy()[order_of].astype(np.int64) for c in ("toxic", "ordinary"))
     usable = bool(toxic.sum() and ordinary.sum())
     models = spark.sparkContext.broadcast(Models(strings[order_of], toxic, ordinary, order, discount) if usable else None)
+    del rows, strings, toxic, ordinary
     scorers: list[Scorer] = []
 
     def scorer() -> Scorer:
