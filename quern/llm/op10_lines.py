@@ -28,8 +28,6 @@ from quern.llm.components import components
 CHARS = 8
 #: At similarity 0.8 a pair meets under one key with probability 1 - (1 - 0.8^4)^8 = 0.985, at 0.9 with 0.9998.
 BANDS, ROWS = 8, 4
-#: Of lines of over LONG characters, signatures take the shingles whose hash ends in two zero bits; verification all.
-LONG = 128
 #: Hash functions of a sketch, bits kept of each, and places in which two sketches agree before sets are compared: lines of
 #: similarity 0.8 agree in 52 of 64 on average, deviation 3.1, and in fewer than 42 once in a thousand pairs.
 SKETCH, BITS, AGREE = 64, 4, 42
@@ -57,29 +55,27 @@ def _last(units: Column) -> Column:
     return F.greatest(F.lit(0), F.floor(F.octet_length(units) / 2).cast("int") - CHARS)
 
 
-def _least(lines: DataFrame, functions: list[int], sampled: bool) -> DataFrame:
-    """id and m0, m1 ...: the least value of each hash function over a line's shingles; lines: id, line.
+def _least(lines: DataFrame, functions: list[int]) -> DataFrame:
+    """id and m0, m1 ...: the least value of each hash function over all of a line's shingles; lines: id, line.
 
-    Without a shuffle if the lines lie by id. sampled: of long lines take the shingles whose hash ends in two zero bits.
+    Without a shuffle if the lines lie by id.
     """
     units = lines.select("id", F.encode("line", "UTF-16BE").alias("u"))
     shingles = units.select("id", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
-    shingles = shingles.select("id", _shingle(F.col("u"), F.col("i")).alias("h"), (F.octet_length("u") > 2 * LONG).alias("long"))
-    if sampled:
-        shingles = shingles.where(~F.col("long") | (F.col("h").bitwiseAND(3) == 0))
+    shingles = shingles.select("id", _shingle(F.col("u"), F.col("i")).alias("h"))
     return shingles.groupBy("id").agg(*[F.min(F.col("h") * F.lit(_signed(a))).alias(f"m{k}") for k, a in enumerate(functions)])
 
 
 def keys_of(lines: DataFrame) -> DataFrame:
     """id, key: the keys of lines (id, line), one for each band."""
-    least = _least(lines, MULTIPLIERS[: BANDS * ROWS], True)
+    least = _least(lines, MULTIPLIERS[: BANDS * ROWS])
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     return least.select("id", F.explode(F.array(*bands)).alias("key"))
 
 
 def sketches_of(lines: DataFrame) -> DataFrame:
     """id, sketch: BITS bits of each of SKETCH further hash functions' least values, in longs."""
-    least = _least(lines, MULTIPLIERS[BANDS * ROWS :], False)
+    least = _least(lines, MULTIPLIERS[BANDS * ROWS :])
     each = 64 // BITS
     longs = []
     for at in range(0, SKETCH, each):

@@ -541,3 +541,19 @@ def test_line_dedup_keeps_one_line_of_each_component(spark):
     left = {r["doc_id"]: r["t"] for r in text.collect()}
     assert left[27] == "same\n" and left[28] is None and left[30] == "  \n "
     assert op10_lines.dedup(frame.limit(0)).collect() == []
+
+
+def test_line_dedup_meets_near_copies_of_all_lengths(spark):
+    """Near copies of 127 and 129 characters, and long lines of one short period, whose few shingles all count."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    texts = []
+    for _ in range(20):
+        line = "".join(rng.choice(letters) for _ in range(127))
+        texts += [line, line + "xy"]
+    for k in range(20):
+        period = "".join(rng.choice(letters) for _ in range(k % 3)) + "=h#~"[k % 4] + str(k)
+        texts += [(period * 200)[:n] for n in (160, 300)]
+    frame = common.checkpointed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    got = {(r["doc_id"], p) for r in op10_lines.dedup(frame).collect() for p in r["__kept"] or []}
+    assert got == lines_by_hand(texts, 0.8) == {(i, 0) for i in range(0, len(texts), 2)}
