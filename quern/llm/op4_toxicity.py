@@ -11,8 +11,7 @@ models did not count turns both into a score from 0 to 1.
 
 The models are fitted on a bounded sample: at most `sample` labelled documents of each class, chosen by a hash of their
 id, exact copies counted once; a fifth of them fit the curve. The tables are broadcast: at most 2 x `sample` documents'
-distinct strings, kept down to `most_strings` by dropping the rarest counts. Everything is scored, whole and without a
-shuffle.
+distinct strings, all of them. Everything is scored, whole and without a shuffle.
 
 Defined results: a null or empty text has no evidence and gets the curve's value there; several labels of one document
 count as the largest; labels that are null are not labels; without labels of both classes every score is 0; repeated
@@ -51,20 +50,29 @@ def spell(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(at, counts, len(distinct))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """counts in the narrowest unsigned type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
 
 
 class _Level:
     """One order's counts: of strings, and of contexts their total and number of distinct next bytes."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, discount: float | None = None) -> None:
-        self.keys, self.counts = keys, counts
+        self.keys, self.counts = keys, _narrow(counts)
         once, twice = (counts == 1).sum(), (counts == 2).sum()
         self.discount = discount or (float(once / (once + 2 * twice)) if once else 0.5)
         contexts = keys >> np.uint64(8)
-        self.contexts, self.totals = _sums(contexts, counts)
-        self.types = _sums(contexts, (counts > 0) * 1.0)[1]
+        # The keys are sorted and counted, so a context's are side by side and each is a type.
+        starts = np.flatnonzero(np.diff(contexts, prepend=~contexts[:1]))
+        self.contexts, self.types = contexts[starts], _narrow(np.diff(np.append(starts, len(keys))))
+        self.totals = _narrow(np.add.reduceat(counts, starts)) if len(starts) else counts
 
     def smooth(self, strings: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Interpolated probabilities of the strings' last bytes, given those of the next shorter context."""
@@ -89,12 +97,12 @@ class Models:
         self.order = order
         self.own = [_Level(strings[c > 0], c[c > 0], discount) for c in (toxic, ordinary)]
         self.shared = []
-        keys, counts = strings, (toxic + ordinary).astype(float)
+        keys, counts = strings, toxic + ordinary
         for length in range(order - 1, 0, -1):
             first = keys >> np.uint64(8 * length)
             short = keys & np.uint64((1 << (8 * length)) - 1)
             # What stands before a byte counts once; at a word's start nothing does, and occurrences count.
-            keys, counts = _sums(short, np.where(first > 0, 1.0, counts))
+            keys, counts = _sums(short, np.where(first > 0, 1, counts))
             self.shared.append(_Level(keys, counts))
 
     def evidence(self, strings: np.ndarray) -> np.ndarray:
@@ -186,7 +194,6 @@ def score(
     order: int = 8,
     discount: float = 0.97,
     floor: float = 3.0,
-    most_strings: int = 1_500_000,
     folds: int = 4,
     held_out: int = 2,
     threshold: float = 0.3,
@@ -211,15 +218,7 @@ def score(
     drawn = F.pmod(F.col("draw"), F.lit(5))
     counted = texts.where(drawn != 0).select("toxic", "text").mapInArrow(_strings(order), "string long, toxic long, ordinary long")
     counted = common.checkpointed(counted.groupBy("string").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
-    least = 1
-    occurs = F.col("toxic") + F.col("ordinary")
-    if (n := counted.count()) > most_strings:
-        by_count = counted.groupBy(F.least(occurs, F.lit(1000)).alias("c")).count().orderBy("c").collect()
-        for r in by_count:
-            if n <= most_strings:
-                break
-            n, least = n - r["count"], r["c"] + 1
-    rows = counted.where(occurs >= least).toArrow()
+    rows = counted.toArrow()
     strings = rows.column("string").to_numpy().view(np.uint64)
     order_of = np.argsort(strings)
     toxic, ordinary = (rows.column(c).to_numpy()[order_of].astype(np.int64) for c in ("toxic", "ordinary"))

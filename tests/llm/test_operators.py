@@ -557,3 +557,18 @@ def test_line_dedup_meets_near_copies_of_all_lengths(spark):
     frame = common.checkpointed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
     got = {(r["doc_id"], p) for r in op10_lines.dedup(frame).collect() for p in r["__kept"] or []}
     assert got == lines_by_hand(texts, 0.8) == {(i, 0) for i in range(0, len(texts), 2)}
+
+
+def test_toxicity_counts_every_string_of_the_sample(spark, monkeypatch):
+    """Two million distinct strings, nearly all of them rare: none is left out."""
+    rng = np.random.default_rng(14)
+    texts = [" ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (900, 9)).view("<U9").ravel()) for _ in range(320)]
+    labels = table(spark, [(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    sizes, own = [], op4_toxicity.Models.__init__
+    monkeypatch.setattr(op4_toxicity.Models, "__init__", lambda self, strings, *rest: (sizes.append(len(strings)), own(self, strings, *rest))[1])
+    frame = docs(spark, texts)
+    op4_toxicity.score(frame, labels)
+    chosen = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    draws = {r["doc_id"]: r["d"] for r in frame.select("doc_id", F.pmod(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), F.lit(5)).alias("d")).collect()}
+    words = [w.encode() for i in chosen if draws[i] for w in texts[i].split()]
+    assert sizes == [len(np.unique(op4_toxicity.spell(words, 8)[0]))] and sizes[0] > 1_500_000
