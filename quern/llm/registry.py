@@ -36,11 +36,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     """Queries without an entry can't be said in SQL, or not over whole tables; tests/llm holds them against brute force."""
     return {
-        "op1_aq": op1_aq.query,
-        "op3_packing": op3_packing.query,
-        "op4_toxicity": op4_toxicity.query,
-        "op5_ctw": op5_ctw.query,
-        "op6_bpe": op6_bpe.query,
         "op1_aq": op1_aq.oracle(),
         "op2_quality": op2_quality.oracle(),
         "op9_sharding": op9_sharding.oracle(),

@@ -572,3 +572,13 @@ def test_toxicity_counts_every_string_of_the_sample(spark, monkeypatch):
     draws = {r["doc_id"]: r["d"] for r in frame.select("doc_id", F.pmod(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), F.lit(5)).alias("d")).collect()}
     words = [w.encode() for i in chosen if draws[i] for w in texts[i].split()]
     assert sizes == [len(np.unique(op4_toxicity.spell(words, 8)[0]))] and sizes[0] > 1_500_000
+
+
+def test_oracle_sql_is_sql():
+    import duckdb
+
+    from quern.llm import registry
+
+    found = registry.oracle_sql()
+    assert set(found) == {"op1_aq", "op2_quality", "op9_sharding"}
+    assert all(isinstance(x, str) and len(duckdb.extract_statements(x)) == 1 for x in found.values())
