@@ -4,10 +4,10 @@ Words are spelt byte by byte with an end byte, each byte after the `order` - 1 b
 Kneser-Ney models, of toxic and of ordinary documents, have counts of their own at the full context and share all
 shorter ones: those are continuation counts over both classes, so an expression that either class hardly saw backs off
 to the same probabilities in both and says little; the discount is near 1, so what a class has once counts next to nothing of its
-own. A word's evidence is the difference of its log-likelihoods. A text is compared by two figures: the length-normalised
-difference, evidence a byte, to which a word adds what it has above `floor` nats, so that ordinary words can't drown a few
-expressions; and the mean evidence of its two strongest words. A logistic curve through labelled documents that the
-models did not count turns both into a score from 0 to 1.
+own. A word's evidence is the difference of its log-likelihoods. A text is compared by three figures: the length-normalised
+difference of all its words, evidence a byte of either sign; the same of what words have above `floor` nats, so that
+ordinary words can't drown a few expressions; and the mean evidence of its two strongest words. A logistic curve through labelled documents that the
+models did not count turns them into a score from 0 to 1.
 
 The models are fitted on a bounded sample: at most `sample` labelled documents of each class, chosen by a hash of their
 id, exact copies counted once; a fifth of them fit the curve. The tables are broadcast: at most 2 x `sample` documents'
@@ -144,15 +144,17 @@ class Scorer:
         return known
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
-        """(n, 2): evidence a byte above the floor, and the mean evidence of the two strongest distinct words."""
+        """(n, 3): evidence a byte, evidence a byte above the floor, and the mean evidence of the two strongest distinct words."""
         split = [(t or "").encode().lower().split() for t in texts]
         known = self._words(split)
-        out = np.zeros((len(split), 2))
+        out = np.zeros((len(split), 3))
         for row, words in enumerate(split):
             if words:
                 found = np.array([known[w] for w in words])
-                out[row, 0] = np.maximum(found - self.floor, 0).sum() / (sum(map(len, words)) + len(words))
-                out[row, 1] = np.mean(sorted([known[w] for w in set(words)])[-2:])
+                size = sum(map(len, words)) + len(words)
+                out[row, 0] = found.sum() / size
+                out[row, 1] = np.maximum(found - self.floor, 0).sum() / size
+                out[row, 2] = np.mean(sorted([known[w] for w in set(words)])[-2:])
         return out
 
 
@@ -235,13 +237,13 @@ def score(
     def features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches(rows):
             found = scorer().texts(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(found[:, i]) for i in range(2)]], names=["toxic", "whole", "strongest"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(found[:, i]) for i in range(3)]], names=["toxic", "whole", "above", "strongest"])
 
     weights = None
     if usable:
-        seen = texts.where(drawn == 0).select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(features, "toxic int, whole double, strongest double").toPandas()
+        seen = texts.where(drawn == 0).select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(features, "toxic int, whole double, above double, strongest double").toPandas()
         if seen["toxic"].nunique() == 2:
-            weights = curve(seen[["whole", "strongest"]].to_numpy(), seen["toxic"].to_numpy())
+            weights = curve(seen[["whole", "above", "strongest"]].to_numpy(), seen["toxic"].to_numpy())
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches(rows):

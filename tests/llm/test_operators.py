@@ -562,7 +562,7 @@ def test_line_dedup_meets_near_copies_of_all_lengths(spark):
 def test_toxicity_counts_every_string_of_the_sample(spark, monkeypatch):
     """Two million distinct strings, nearly all of them rare: none is left out."""
     rng = np.random.default_rng(14)
-    texts = [" ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (900, 9)).view("<U9").ravel()) for _ in range(320)]
+    texts = [" ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (900, 9)).view("<U9").ravel()) for _ in range(520)]
     labels = table(spark, [(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
     sizes, own = [], op4_toxicity.Models.__init__
     monkeypatch.setattr(op4_toxicity.Models, "__init__", lambda self, strings, *rest: (sizes.append(len(strings)), own(self, strings, *rest))[1])
@@ -582,3 +582,14 @@ def test_oracle_sql_is_sql():
     found = registry.oracle_sql()
     assert set(found) == {"op1_aq", "op2_quality", "op9_sharding"}
     assert all(isinstance(x, str) and len(duckdb.extract_statements(x)) == 1 for x in found.values())
+
+
+def test_toxicity_weighs_all_words_with_both_signs():
+    """Evidence of under `floor` nats a word counts, for either class."""
+    keys, at = np.unique(op4_toxicity.spell([b"alpha", b"beta", b"gamma", b"delta"], 8)[0], return_inverse=True)
+    toxic = np.bincount(at, np.repeat([6, 2, 2, 1], [6, 5, 6, 6]), len(keys)).astype(np.int64)
+    ordinary = np.bincount(at, np.repeat([2, 6, 2, 3], [6, 5, 6, 6]), len(keys)).astype(np.int64)
+    scorer = op4_toxicity.Scorer(op4_toxicity.Models(keys, toxic, ordinary, 8, 0.5), 3.0)
+    for_toxic, for_ordinary = scorer.texts(["alpha " * 20, "beta " * 20])
+    assert for_toxic[0] > 0 > for_ordinary[0]
+    assert for_toxic[1] == for_ordinary[1] == 0
