@@ -24,8 +24,9 @@ from quern.llm import common
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Statistics, and for each the deviation (in its own unit) that its scatter is never taken to be below.
-FLOORS = {"size": 0.5, "length": 0.06, "symbols": 0.6, "lines": 1.2, "repeats": 0.12}
+#: Statistics, and for each the deviation (in its own unit) that its scatter is never taken to be below. Each
+#: leaves room for rejection: lines reach ln(101), repeats ln(1.2) before the base rule, over sqrt(REJECT) floors each.
+FLOORS = {"size": 0.5, "length": 0.06, "symbols": 0.6, "lines": 0.6, "repeats": 0.025}
 STATS = tuple(FLOORS)
 UNIT = 10_000
 #: Share of a group's rows that an estimate rests on, and the factor that makes their covariance that of the whole

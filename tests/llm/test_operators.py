@@ -593,3 +593,14 @@ def test_toxicity_weighs_all_words_with_both_signs():
     for_toxic, for_ordinary = scorer.texts(["alpha " * 20, "beta " * 20])
     assert for_toxic[0] > 0 > for_ordinary[0]
     assert for_toxic[1] == for_ordinary[1] == 0
+
+
+def test_quality_rejects_repeated_lines_alone(spark):
+    """Every statistic can reject by itself; a menu of repeated short lines goes, clean texts stay."""
+    for name, most in (("lines", math.log(101)), ("repeats", math.log(1.2))):
+        assert (most / op2_quality.FLOORS[name]) ** 2 > op2_quality.REJECT
+    clean = [t for t in prose(600, 2, 200) if len(t.split()) >= 20]
+    menu = "\n".join(f"{w}{k}\nthering" for k, w in enumerate(clean[0].split() + clean[1].split() + clean[2].split()))
+    found = op2_quality.verdicts(op2_quality.base(docs(spark, [*clean, menu]), "lang", "source")).collect()
+    kept = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in found}
+    assert kept.pop(len(clean)) == (False, False) and all(k or b for k, b in kept.values())
