@@ -604,3 +604,12 @@ def test_quality_rejects_repeated_lines_alone(spark):
     found = op2_quality.verdicts(op2_quality.base(docs(spark, [*clean, menu]), "lang", "source")).collect()
     kept = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in found}
     assert kept.pop(len(clean)) == (False, False) and all(k or b for k, b in kept.values())
+
+
+def test_ctw_uses_seven_bytes_by_default(spark):
+    texts = prose(12, 11, 20)
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    got = {r["doc_id"]: r["score"] * math.log(10) for r in op5_ctw.score(docs(spark, texts)).collect()}
+    seven, six = ctw_by_hand(texts, train, 7), ctw_by_hand(texts, train, 6)
+    found = [got[i] for i in range(len(texts))]
+    assert found == pytest.approx(seven, rel=1e-5) and found != pytest.approx(six, rel=1e-5)
