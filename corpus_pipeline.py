@@ -38,8 +38,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier one has nearly the same."""
     configure(spark)
-    found = op10_lines.dedup(docs)
-    return _with_text(found.withColumn("text", op10_lines.remaining(F.split("text", "\n"), F.col("__kept"))), docs.columns)
+    name = common.unused("kept", *docs.columns)
+    found = op10_lines.dedup(docs, name=name)
+    return _with_text(found.withColumn("text", op10_lines.remaining(F.split("text", "\n"), F.col(name))), docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
