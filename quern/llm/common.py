@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(base: str, *names: str) -> str:
+    """A column's name from base that none of the names is, in any case."""
+    taken, name = {n.lower() for n in names}, f"__{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for cut lineages: the session's spark.checkpoint.dir.
 

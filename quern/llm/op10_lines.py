@@ -2,19 +2,22 @@
 
 Lines that hold a word are made distinct first, so exact copies cost one row each. A distinct line's shingles are the
 strings of `CHARS` characters in it; two lines are alike if the Jaccard similarity of their shingle sets is `similar` or
-more. Shingles come from an explode that stays in generated code; each of BANDS x ROWS hash functions keeps its least
-value, and the ROWS values of a band make a key. Lines with a common key are candidates, and exact shingle sets decide.
-
-Within a key every line is compared with the one that meets most lines under all its keys, of which the others mostly are
-variants; union-find joins what is alike, and then only lines still apart from that line's component are compared with
-the key's lines of other components. Before texts are fetched, sketches (some bits of the least values of more hash
-functions) rule out pairs that are far from similar. So a large group of variants costs about a comparison each, and no
-pair of one key that could still join components is left out but for what sketches miss, less than a pair in a thousand.
+more. Shingles come from an explode that stays in generated code; each of `POINTS` hash functions keeps its least value
+over all of them, whatever the line's length. The functions are the points of the affine plane of order 4, and the values
+on each of its 20 lines make a key: two lines meet if they agree on all points of one line. So 16 functions find more than
+40 in disjoint bands would. Lines with a common key are candidates, and exact shingle sets decide.
+
+Each line is first compared with one other, the most central line (which meets most) under any of its keys, and
+union-find joins what is alike. Under keys whose lines are still in different components, those outside the central
+line's component are then compared with all lines of other components, so no pair of a key that could still join two is
+left out. Bitmaps of the shingles come before the sets there: they bound the similarity from above, and a pair is ruled
+out only where the bound is below `similar`, so nothing is lost and few pairs have their texts fetched. A large group of
+variants costs about a comparison each.
 Components keep the first occurrence of their lines; all other occurrences go.
 
 Defined results: lines without a word stay and aren't compared; a null text has no line and stays null; repeated rows
-count as later occurrences; an empty table gives no rows. docs must give the same rows in the same partitions whenever
-it is read: a table or a checkpoint.
+count as later occurrences; an empty table gives no rows; docs' own columns may have any names. docs must give the same
+rows in the same partitions whenever it is read: a table or a checkpoint.
 """
 
 from __future__ import annotations
@@ -26,13 +29,29 @@ from quern.llm import common
 from quern.llm.components import components
 
 CHARS = 8
-#: At similarity 0.8 a pair meets under one key with probability 1 - (1 - 0.8^4)^8 = 0.985, at 0.9 with 0.9998.
-BANDS, ROWS = 8, 4
-#: Hash functions of a sketch, bits kept of each, and places in which two sketches agree before sets are compared: lines of
-#: similarity 0.8 agree in 52 of 64 on average, deviation 3.1, and in fewer than 42 once in a thousand pairs.
-SKETCH, BITS, AGREE = 64, 4, 42
+#: Hash functions, the points (x, y) of the affine plane of order 4. Two lines of similarity 0.8 agree on all points of one
+#: of its lines at least with probability 0.995, of similarity 0.85 with 0.999.
+POINTS = 16
+#: Keys in common from which a line is compared with a central one at once; with fewer it may be later. Lines of similarity
+#: 0.8 have 8 on average, of 0.6 less than 3.
+STAR_KEYS = 4
+#: Longs of a bitmap: each shingle sets one of 64 x WORDS bits.
+WORDS = 32
+#: Parts of the pairs of one line, which keep a line with very many of them out of a single task.
+SALTS = 1024
 #: Odd multipliers of the hash functions, from a rule: powers of a 64-bit constant.
-MULTIPLIERS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(BANDS * ROWS + SKETCH)]
+MULTIPLIERS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(POINTS)]
+
+
+def _times(a: int, b: int) -> int:
+    """Product in the field of four elements: of polynomials over bits, modulo x^2 + x + 1."""
+    product = (a if b & 1 else 0) ^ (a << 1 if b & 2 else 0)
+    return product ^ 0b111 if product & 0b100 else product
+
+
+#: The plane's 20 lines as lists of points 4x + y: y = mx + c for each m and c, and x = c.
+PLANE = [[4 * x + (_times(m, x) ^ c) for x in range(4)] for m in range(4) for c in range(4)]
+PLANE += [[4 * c + y for y in range(4)] for c in range(4)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -55,111 +74,110 @@ def _last(units: Column) -> Column:
     return F.greatest(F.lit(0), F.floor(F.octet_length(units) / 2).cast("int") - CHARS)
 
 
-def _least(lines: DataFrame, functions: list[int]) -> DataFrame:
-    """id and m0, m1 ...: the least value of each hash function over all of a line's shingles; lines: id, line.
-
-    Without a shuffle if the lines lie by id.
-    """
+def _shingles(lines: DataFrame) -> DataFrame:
+    """id, h: the hash of each shingle, repeats included, of lines (id, line)."""
     units = lines.select("id", F.encode("line", "UTF-16BE").alias("u"))
-    shingles = units.select("id", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
-    shingles = shingles.select("id", _shingle(F.col("u"), F.col("i")).alias("h"))
-    return shingles.groupBy("id").agg(*[F.min(F.col("h") * F.lit(_signed(a))).alias(f"m{k}") for k, a in enumerate(functions)])
+    places = units.select("id", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
+    return places.select("id", _shingle(F.col("u"), F.col("i")).alias("h"))
 
 
 def keys_of(lines: DataFrame) -> DataFrame:
-    """id, key: the keys of lines (id, line), one for each band."""
-    least = _least(lines, MULTIPLIERS[: BANDS * ROWS])
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return least.select("id", F.explode(F.array(*bands)).alias("key"))
-
-
-def sketches_of(lines: DataFrame) -> DataFrame:
-    """id, sketch: BITS bits of each of SKETCH further hash functions' least values, in longs."""
-    least = _least(lines, MULTIPLIERS[BANDS * ROWS :])
-    each = 64 // BITS
-    longs = []
-    for at in range(0, SKETCH, each):
-        parts = [F.shiftleft(F.xxhash64(f"m{k}").bitwiseAND((1 << BITS) - 1), BITS * (k - at)) for k in range(at, at + each)]
-        whole = parts[0]
-        for x in parts[1:]:
-            whole = whole.bitwiseOR(x)
-        longs.append(whole)
-    return least.select("id", F.array(*longs).alias("sketch"))
-
-
-def _likely(a: str, b: str) -> Column:
-    """Whether two sketches agree in AGREE places or more."""
-    low = int("1" * 1 + ("0" * (BITS - 1) + "1") * (64 // BITS - 1), 2)
-    total = F.lit(0)
-    for k in range(SKETCH * BITS // 64):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        differs = x
-        for shift in range(1, BITS):
-            differs = differs.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(differs.bitwiseAND(F.lit(low)))
-    return total <= SKETCH - AGREE
+    """id, key: the keys of lines (id, line), one for each line of the plane. Without a shuffle if the lines lie by id."""
+    least = _shingles(lines).groupBy("id").agg(*[F.min(F.col("h") * F.lit(_signed(a))).alias(f"m{k}") for k, a in enumerate(MULTIPLIERS)])
+    keys = [F.xxhash64(F.lit(n), *[F.col(f"m{k}") for k in points]) for n, points in enumerate(PLANE)]
+    return least.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
-def similar_pairs(pairs: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) of line ids whose shingle sets have a Jaccard similarity of `similar` or more."""
+def bitmaps_of(lines: DataFrame) -> DataFrame:
+    """id, n (a line's shingles, repeats included), bits: WORDS longs in which each shingle sets a bit; lines: id, line."""
+    h = F.col("h")
+    words = _shingles(lines).select("id", F.shiftrightunsigned(h, 6).bitwiseAND(WORDS - 1).alias("w"), h.bitwiseAND(63).cast("int").alias("bit"))
+    words = words.groupBy("id", "w").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("x"), F.count(F.lit(1)).alias("c"))
+    each = [F.max(F.when(F.col("w") == k, F.col("x"))).alias(f"x{k}") for k in range(WORDS)]
+    whole = words.groupBy("id").agg(F.sum("c").alias("n"), *each)
+    return whole.select("id", "n", F.array(*[F.coalesce(F.col(f"x{k}"), F.lit(0).cast("long")) for k in range(WORDS)]).alias("bits"))
 
-    def shingles(units: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(units)), lambda i: _shingle(units, i)))
 
-    # The pairs are hashed, so that the lines stream past them without being sorted.
-    texts = lines.select("id", "line")
-    found = texts.toDF("a", "la").join(pairs.hint("shuffle_hash"), "a")
-    found = texts.toDF("b", "lb").join(found.hint("shuffle_hash"), "b")
-    # Lambdas over arrays of one bind what is used twice, so that each set is made once.
-    units = F.array(F.struct(F.encode("la", "UTF-16BE").alias("a"), F.encode("lb", "UTF-16BE").alias("b")))
-    sets = F.transform(units, lambda u: F.struct(shingles(u["a"]).alias("a"), shingles(u["b"]).alias("b")))
-    counts = F.transform(sets, lambda x: F.struct((F.size(x["a"]) + F.size(x["b"])).alias("n"), F.size(F.array_intersect(x["a"], x["b"])).alias("both")))
-    return found.where(F.exists(counts, lambda y: y["both"] >= similar * (y["n"] - y["both"]))).select("a", "b")
+def _possible(similar: float, n_a: str, bits_a: str, n_b: str, bits_b: str) -> Column:
+    """False only if two lines are less than `similar`.
+
+    Each bit that differs stands for a shingle that only one of them has. With d of these and s shingles in both sets
+    together, at most (s - d) / 2 are common, and the similarity is at most (s - d) / (s + d).
+    """
+    differ = F.lit(0)
+    for k in range(WORDS):
+        differ = differ + F.bit_count(F.get(bits_a, F.lit(k)).bitwiseXOR(F.get(bits_b, F.lit(k))))
+    return differ * (1 + similar) <= (F.col(n_a) + F.col(n_b)) * (1 - similar) + 1e-6
+
+
+def _with_text(pairs: DataFrame, lines: DataFrame, end: str, other: str) -> DataFrame:
+    """pairs with the text of one end, dealt by that end and a salt (`salt_<end>`)."""
+    salted = pairs.withColumn(f"salt_{end}", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+    wanted = salted.select(F.col(end).alias("id"), F.col(f"salt_{end}")).distinct()
+    found = lines.select("id", "line").join(wanted.hint("shuffle_hash"), "id")
+    return salted.join(found.select(F.col("id").alias(end), f"salt_{end}", F.col("line").alias(f"line_{end}")), [end, f"salt_{end}"])
+
+
+def similar_pairs(pairs: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b; distinct) of line ids whose shingle sets have a Jaccard similarity of `similar` or more."""
+    texts = _with_text(_with_text(pairs, lines, "a", "b"), lines, "b", "a")
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.encode(f"line_{e}", "UTF-16BE").alias("u")) for k, e in ((1, "a"), (2, "b"))])
+    rows = texts.select("a", "b", "salt_b", F.inline(sides))
+    rows = rows.select("a", "b", "salt_b", "side", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
+    rows = rows.select("a", "b", "salt_b", "side", _shingle(F.col("u"), F.col("i")).alias("h"))
+    # The rows of a pair lie together already: no shuffle.
+    each = rows.groupBy("a", "b", "salt_b", "h").agg(F.bit_or("side").alias("sides"))
+    sets = each.groupBy("a", "b", "salt_b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("sides") == 3, 1).otherwise(0)).alias("both"))
+    return sets.where(F.col("both") >= similar * F.col("n")).select("a", "b")
 
 
 def kept_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     """rid, pos of the lines of docs (rid, text) that are the first of their component."""
     distinct = lines_of(docs).groupBy("id").agg(F.min("line").alias("line"), F.min(F.struct("rid", "pos")).alias("place"))
-    # From here on the lines' text is not shuffled again.
+    # From here on only the text of candidates is shuffled again.
     lines = common.bucketed(distinct, "id")
     # Both uses of `banded` read one shuffle, so they take the same columns.
-    banded = keys_of(lines.select("id", "line")).repartition("key")
+    banded = keys_of(lines).repartition("key")
     shared = banded.groupBy("key").agg(F.count("id").alias("n")).where("n > 1")
-    members = common.checkpointed(banded.join(shared, "key").select("key", "id", "n"))
+    members = common.checkpointed(banded.join(shared.hint("shuffle_hash"), "key").select("key", "id", "n"))
     # How many lines a line meets under all its keys: the most central line of a key has most.
     met = members.groupBy("id").agg(F.sum("n").alias("met"))
-    texts = lines.select("id", "line")
-    sketches = common.checkpointed(sketches_of(texts.join(met.select("id").hint("shuffle_hash"), "id", "left_semi")).join(met, "id"))
-    members = members.drop("n").join(sketches, "id")
-    first = members.groupBy("key").agg(F.max(F.struct("met", "id", "sketch")).alias("first"))
-    members = members.join(first, "key").select("key", "id", "sketch", F.col("first.id").alias("first"), F.col("first.sketch").alias("first_sketch"))
-    members = common.checkpointed(members)
-    stars = members.where((F.col("id") != F.col("first")) & _likely("sketch", "first_sketch"))
-    stars = stars.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = common.checkpointed(similar_pairs(stars, texts, similar))
-    # Members of a key that are not in its first line's component meet those of other components.
-    roots = components(links).select(F.col("node").alias("id"), "root")
-    members = members.drop("first_sketch").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    first = roots.select(F.col("id").alias("first"), F.col("root").alias("first_root"))
-    members = members.join(first, "first", "left").withColumn("first_root", F.coalesce("first_root", "first"))
-    apart = F.col("root") != F.col("first_root")
-    members = common.checkpointed(members.where(F.col("id") != F.col("first")).select("key", "id", "sketch", "root", apart.alias("apart")))
-    one = members.where("apart").select("key", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("sketch").alias("sketch_a"))
-    other = members.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"), F.col("apart").alias("apart_b"))
-    more = one.join(other, "key").where((F.col("root_a") != F.col("root_b")) & (~F.col("apart_b") | (F.col("a") < F.col("b"))) & _likely("sketch_a", "sketch_b"))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = common.checkpointed(links.union(similar_pairs(more, texts, similar)))
-    roots = components(links).select(F.col("node").alias("id"), "root")
-    first = lines.select("id", "place").join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("place").alias("place"))
-    return first.select("place.rid", "place.pos")
-
-
-def dedup(docs: DataFrame, similar: float = 0.8) -> DataFrame:
-    """docs with `__kept`, the numbers of their remaining lines that hold a word (null: none)."""
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
-    kept = kept_lines(rows.select(F.col("__rid").alias("rid"), "text"), similar).groupBy("rid")
-    kept = kept.agg(F.sort_array(F.collect_list("pos")).alias("__kept")).withColumnRenamed("rid", "__rid")
-    return rows.join(kept, "__rid", "left").drop("__rid")
+    members = common.checkpointed(members.select("key", "id").join(met, "id"))
+    # What is known of a key is checkpointed, so that Spark can split the keys with very many lines in the joins.
+    central = common.checkpointed(members.groupBy("key").agg(F.max(F.struct("met", "id")).alias("central")))
+    members = common.checkpointed(members.select("key", "id").join(central, "key"))
+    # A line's star: the central line that it has most keys in common with, if these make it likely that they are alike.
+    both = members.groupBy("id", F.col("central.id").alias("a")).agg(F.count(F.lit(1)).alias("keys")).where(f"a <> id and keys >= {STAR_KEYS}")
+    stars = both.groupBy("id").agg(F.max(F.struct("keys", "a")).alias("star")).select("star.a", F.col("id").alias("b"))
+    links = similar_pairs(stars, lines, similar)
+    roots = common.checkpointed(components(links)).select(F.col("node").alias("id"), "root")
+    # Keys whose lines are still in several components.
+    members = members.select("key", "id", F.col("central.id").alias("central")).join(roots, "id", "left")
+    members = members.select("key", "id", "central", F.coalesce("root", "id").alias("root"))
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("id") == F.col("central"), F.col("root"))).alias("main"))
+    mixed = common.checkpointed(mixed.where("low <> high").select("key", "main"))
+    members = common.checkpointed(members.drop("central").join(mixed, "key").withColumn("apart", F.col("root") != F.col("main")).drop("main"))
+    bitmaps = bitmaps_of(lines.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"))
+    members = common.checkpointed(members.join(bitmaps, "id"))
+    one, other = (members.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root", "apart", "n", "bits")]) for e in "ab")
+    more = one.where("apart_a").join(other, "key").where((F.col("root_a") != F.col("root_b")) & (~F.col("apart_b") | (F.col("id_a") < F.col("id_b"))) & _possible(similar, "n_a", "bits_a", "n_b", "bits_b"))
+    more = common.checkpointed(more.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
+    links = similar_pairs(more, lines, similar)
+    for end in "ab":
+        links = links.join(roots.toDF(end, f"root_{end}"), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    joined = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).toDF("root", "last")
+    places = lines.select("id", "place").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    places = places.join(joined, "root", "left").groupBy(F.coalesce("last", "root").alias("root")).agg(F.min("place").alias("place"))
+    return places.select("place.rid", "place.pos")
+
+
+def dedup(docs: DataFrame, similar: float = 0.8, name: str = "__kept") -> DataFrame:
+    """docs with a column `name`, the numbers of their remaining lines that hold a word (null: none)."""
+    rid = common.unused("rid", *docs.columns, name)
+    rows = docs.withColumn(rid, F.monotonically_increasing_id())
+    kept = kept_lines(rows.select(F.col(rid).alias("rid"), "text"), similar).groupBy("rid")
+    kept = kept.agg(F.sort_array(F.collect_list("pos")).alias(name)).withColumnRenamed("rid", rid)
+    return rows.join(kept, rid, "left").drop(rid)
 
 
 def _is_line(x: Column) -> Column:
