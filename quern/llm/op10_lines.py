@@ -32,6 +32,8 @@ CHARS = 8
 #: Hash functions, the points (x, y) of the affine plane of order 4. Two lines of similarity 0.8 agree on all points of one
 #: of its lines at least with probability 0.995, of similarity 0.85 with 0.999.
 POINTS = 16
+#: Shingles of a line that become one row on their way to the least values.
+AT_ONCE = 4
 #: Keys in common from which a line is compared with a central one at once; with fewer it may be later. Lines of similarity
 #: 0.8 have 8 on average, of 0.6 less than 3.
 STAR_KEYS = 4
@@ -83,7 +85,11 @@ def _shingles(lines: DataFrame) -> DataFrame:
 
 def keys_of(lines: DataFrame) -> DataFrame:
     """id, key: the keys of lines (id, line), one for each line of the plane. Without a shuffle if the lines lie by id."""
-    least = _shingles(lines).groupBy("id").agg(*[F.min(F.col("h") * F.lit(_signed(a))).alias(f"m{k}") for k, a in enumerate(MULTIPLIERS)])
+    units = lines.select("id", F.encode("line", "UTF-16BE").alias("u"))
+    rows = units.select("id", "u", _last(F.col("u")).alias("last"), F.explode(F.sequence(F.lit(0), _last(F.col("u")), F.lit(AT_ONCE))).alias("i"))
+    rows = rows.select("id", *[_shingle(F.col("u"), F.least("last", F.col("i") + k)).alias(f"h{k}") for k in range(AT_ONCE)])
+    values = [F.least(*[F.col(f"h{k}") * F.lit(_signed(a)) for k in range(AT_ONCE)]) for a in MULTIPLIERS]
+    least = rows.groupBy("id").agg(*[F.min(v).alias(f"m{k}") for k, v in enumerate(values)])
     keys = [F.xxhash64(F.lit(n), *[F.col(f"m{k}") for k in points]) for n, points in enumerate(PLANE)]
     return least.select("id", F.explode(F.array(*keys)).alias("key"))
 
@@ -121,14 +127,13 @@ def _with_text(pairs: DataFrame, lines: DataFrame, end: str, other: str) -> Data
 def similar_pairs(pairs: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b; distinct) of line ids whose shingle sets have a Jaccard similarity of `similar` or more."""
     texts = _with_text(_with_text(pairs, lines, "a", "b"), lines, "b", "a")
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.encode(f"line_{e}", "UTF-16BE").alias("u")) for k, e in ((1, "a"), (2, "b"))])
-    rows = texts.select("a", "b", "salt_b", F.inline(sides))
-    rows = rows.select("a", "b", "salt_b", "side", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
-    rows = rows.select("a", "b", "salt_b", "side", _shingle(F.col("u"), F.col("i")).alias("h"))
-    # The rows of a pair lie together already: no shuffle.
-    each = rows.groupBy("a", "b", "salt_b", "h").agg(F.bit_or("side").alias("sides"))
-    sets = each.groupBy("a", "b", "salt_b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("sides") == 3, 1).otherwise(0)).alias("both"))
-    return sets.where(F.col("both") >= similar * F.col("n")).select("a", "b")
+    units = texts.select("a", "b", *[F.encode(f"line_{e}", "UTF-16BE").alias(f"u{e}") for e in "ab"])
+    all_of = lambda u: F.transform(F.sequence(F.lit(0), _last(u)), lambda i: _shingle(u, i))
+    sets = units.select("a", "b", all_of(F.col("ua")).alias("sa"), all_of(F.col("ub")).alias("sb"))
+    counts = sets.select("a", "b", F.size(F.array_union("sa", "sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    # A filter would be pushed below the sets and make them again.
+    counts = common.checkpointed(counts)
+    return counts.where(F.col("both") >= similar * F.col("n")).select("a", "b")
 
 
 def kept_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
