@@ -9,7 +9,8 @@ on each of its 20 lines make a key: two lines meet if they agree on all points o
 
 Each line is first compared with one other, the most central line (which meets most) under any of its keys, and
 union-find joins what is alike. Under keys whose lines are still in different components, those outside the central
-line's component are then compared with all lines of other components, so no pair of a key that could still join two is
+line's component, the key's main one, then meet the likeliest of a few lines that stand for main components, twice, and
+what is still outside is compared with all lines of other components, so no pair of a key that could still join two is
 left out. Bitmaps of the shingles come before the sets there: they bound the similarity from above, and a pair is ruled
 out only where the bound is below `similar`, so nothing is lost and few pairs have their texts fetched. A large group of
 variants costs about a comparison each.
@@ -37,7 +38,9 @@ AT_ONCE = 4
 #: Keys in common from which a line is compared with a central one at once; with fewer it may be later. Lines of similarity
 #: 0.8 have 8 on average, of 0.6 less than 3.
 STAR_KEYS = 4
-#: Longs of a bitmap: each shingle sets one of 64 x WORDS bits.
+#: Turns in which lines outside the main component of a key meet one line of it, before they meet all.
+TURNS = 2
+#: Longs of a bitmap: each shingle turns one of 64 x WORDS bits.
 WORDS = 32
 #: Parts of the pairs of one line, which keep a line with very many of them out of a single task.
 SALTS = 1024
@@ -95,25 +98,32 @@ def keys_of(lines: DataFrame) -> DataFrame:
 
 
 def bitmaps_of(lines: DataFrame) -> DataFrame:
-    """id, n (a line's shingles, repeats included), bits: WORDS longs in which each shingle sets a bit; lines: id, line."""
+    """id, n (a line's different shingles), bits: WORDS longs in which each of them turns one bit; lines: id, line."""
     h = F.col("h")
-    words = _shingles(lines).select("id", F.shiftrightunsigned(h, 6).bitwiseAND(WORDS - 1).alias("w"), h.bitwiseAND(63).cast("int").alias("bit"))
-    words = words.groupBy("id", "w").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("x"), F.count(F.lit(1)).alias("c"))
+    words = _shingles(lines).groupBy("id", "h").agg(F.lit(1).alias("one"))
+    words = words.select("id", F.shiftrightunsigned(h, 6).bitwiseAND(WORDS - 1).alias("w"), h.bitwiseAND(63).cast("int").alias("bit"))
+    words = words.groupBy("id", "w").agg(F.bit_xor(F.expr("shiftleft(1L, bit)")).alias("x"), F.count(F.lit(1)).alias("c"))
     each = [F.max(F.when(F.col("w") == k, F.col("x"))).alias(f"x{k}") for k in range(WORDS)]
     whole = words.groupBy("id").agg(F.sum("c").alias("n"), *each)
     return whole.select("id", "n", F.array(*[F.coalesce(F.col(f"x{k}"), F.lit(0).cast("long")) for k in range(WORDS)]).alias("bits"))
 
 
+def _differing(bits_a: str, bits_b: str) -> Column:
+    """The number of places in which two bitmaps differ."""
+    differ = F.lit(0)
+    for k in range(WORDS):
+        differ = differ + F.bit_count(F.get(bits_a, F.lit(k)).bitwiseXOR(F.get(bits_b, F.lit(k))))
+    return differ
+
+
 def _possible(similar: float, n_a: str, bits_a: str, n_b: str, bits_b: str) -> Column:
     """False only if two lines are less than `similar`.
 
-    Each bit that differs stands for a shingle that only one of them has. With d of these and s shingles in both sets
-    together, at most (s - d) / 2 are common, and the similarity is at most (s - d) / (s + d).
+    A bit can differ only by a shingle that just one of them has: common ones turn it in both. With d such bits and s shingles in
+    both sets together, at most (s - d) / 2 are common, and the similarity is at most (s - d) / (s + d).
     """
-    differ = F.lit(0)
-    for k in range(WORDS):
-        differ = differ + F.bit_count(F.get(bits_a, F.lit(k)).bitwiseXOR(F.get(bits_b, F.lit(k))))
-    return differ * (1 + similar) <= (F.col(n_a) + F.col(n_b)) * (1 - similar) + 1e-6
+    sizes = F.least(n_a, n_b) >= similar * F.greatest(n_a, n_b)
+    return sizes & (_differing(bits_a, bits_b) * (1 + similar) <= (F.col(n_a) + F.col(n_b)) * (1 - similar) + 1e-6)
 
 
 def _with_text(pairs: DataFrame, lines: DataFrame, end: str, other: str) -> DataFrame:
@@ -161,21 +171,50 @@ def kept_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     members = members.select("key", "id", "central", F.coalesce("root", "id").alias("root"))
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("id") == F.col("central"), F.col("root"))).alias("main"))
     mixed = common.checkpointed(mixed.where("low <> high").select("key", "main"))
-    members = common.checkpointed(members.drop("central").join(mixed, "key").withColumn("apart", F.col("root") != F.col("main")).drop("main"))
+    members = common.checkpointed(members.drop("central").join(mixed, "key"))
     bitmaps = bitmaps_of(lines.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"))
     members = common.checkpointed(members.join(bitmaps, "id"))
-    one, other = (members.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root", "apart", "n", "bits")]) for e in "ab")
-    more = one.where("apart_a").join(other, "key").where((F.col("root_a") != F.col("root_b")) & (~F.col("apart_b") | (F.col("id_a") < F.col("id_b"))) & _possible(similar, "n_a", "bits_a", "n_b", "bits_b"))
-    more = common.checkpointed(more.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
-    links = similar_pairs(more, lines, similar)
-    for end in "ab":
-        links = links.join(roots.toDF(end, f"root_{end}"), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    joined = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).toDF("root", "last")
     places = lines.select("id", "place").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    places = places.join(joined, "root", "left").groupBy(F.coalesce("last", "root").alias("root")).agg(F.min("place").alias("place"))
+    for turn in range(TURNS + 1):
+        found = _last_links(members, lines, similar) if turn == TURNS else _next_links(members, lines, similar, turn)
+        # Components of the components so far.
+        now = common.checkpointed(components(found)).select(F.col("node").alias("root"), F.col("root").alias("now"))
+        places = places.join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+        if turn < TURNS:
+            for name in ("root", "main"):
+                members = members.join(now.select(F.col("root").alias(name), "now"), name, "left").withColumn(name, F.coalesce("now", name)).drop("now")
+            mixed = members.groupBy("key").agg(F.max(F.col("root") != F.col("main")).alias("mixed")).where("mixed").select("key")
+            members = common.checkpointed(members.join(common.checkpointed(mixed), "key"))
+    places = places.groupBy("root").agg(F.min("place").alias("place"))
     return places.select("place.rid", "place.pos")
 
 
+def _next_links(members: DataFrame, lines: DataFrame, similar: float, turn: int) -> DataFrame:
+    """Links (a, b) between roots: each line outside its key's main component is compared with the likeliest of the lines
+    that stand for these components in this turn, one a key."""
+    one = F.struct(F.xxhash64(F.lit(turn), "id").alias("draw"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    stands = common.checkpointed(members.where("root = main").groupBy("key").agg(F.max(one).alias("one")).select("key", "one.b", "one.n_b", "one.bits_b"))
+    near = members.where("root <> main").join(stands, "key").where(_possible(similar, "n", "bits", "n_b", "bits_b"))
+    near = near.select("id", F.struct((_differing("bits", "bits_b") / (F.col("n") + F.col("n_b"))).alias("far"), "b", "root", "main").alias("near"))
+    best = near.groupBy("id").agg(F.min("near").alias("near")).select(F.col("near.b").alias("a"), F.col("id").alias("b"), "near.root", "near.main")
+    best = common.checkpointed(best)
+    found = similar_pairs(best.select("a", "b"), lines, similar)
+    return best.join(found, ["a", "b"]).select(F.col("root").alias("a"), F.col("main").alias("b"))
+
+
+def _last_links(members: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) between roots: each line outside its key's main component meets all lines of other components."""
+    members = members.withColumn("apart", F.col("root") != F.col("main"))
+    one, other = (members.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root", "apart", "n", "bits")]) for e in "ab")
+    more = one.where("apart_a").join(other, "key").where((F.col("root_a") != F.col("root_b")) & (~F.col("apart_b") | (F.col("id_a") < F.col("id_b"))) & _possible(similar, "n_a", "bits_a", "n_b", "bits_b"))
+    swap = F.col("id_a") > F.col("id_b")
+    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    more = more.select(pick("id_a", "id_b", "a"), pick("id_b", "id_a", "b"), pick("root_a", "root_b", "root_a"), pick("root_b", "root_a", "root_b"))
+    more = common.checkpointed(more.distinct())
+    found = similar_pairs(more.select("a", "b"), lines, similar)
+    return more.join(found, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+
+
 def dedup(docs: DataFrame, similar: float = 0.8, name: str = "__kept") -> DataFrame:
     """docs with a column `name`, the numbers of their remaining lines that hold a word (null: none)."""
     rid = common.unused("rid", *docs.columns, name)
