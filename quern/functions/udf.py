@@ -37,6 +37,10 @@ def pandas_udf(f: Callable | None = None, returnType="string", *, callOnNull: bo
     return udf(f, returnType, vectorised=True, callOnNull=callOnNull)
 
 
+#: Names registered through UDFRegistration, by application.
+_registered: dict[str, set[str]] = {}
+
+
 class UDFRegistration:
     """`session.udf`: functions by SQL name, on both surfaces; a name registered again is replaced."""
 
@@ -46,6 +50,7 @@ class UDFRegistration:
     def register(self, name: str, f: Callable, returnType=None, *, vectorised: bool = False, callOnNull: bool = False):
         made = f if hasattr(f, "evalType") else udf(f, returnType or "string", vectorised=vectorised, callOnNull=callOnNull)
         self._spark.udf.register(name, made)
+        _registered.setdefault(self._spark.sparkContext.applicationId, set()).add(name.lower())
         return made
 
     def registerVectorised(self, name: str, f: Callable, returnType=None, *, callOnNull: bool = False):
@@ -53,3 +58,9 @@ class UDFRegistration:
 
     def unregister(self, name: str) -> None:
         self._spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS `{name}`")
+        _registered.get(self._spark.sparkContext.applicationId, set()).discard(name.lower())
+
+    @property
+    def registered(self) -> list[str]:
+        """Names of the functions that are registered now."""
+        return sorted(_registered.get(self._spark.sparkContext.applicationId, ()))

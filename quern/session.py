@@ -129,6 +129,16 @@ class Session:
     def conf(self) -> RuntimeConfig:
         return RuntimeConfig(self.spark)
 
+    @property
+    def settings(self) -> dict[str, str]:
+        """The settings of this library that are in force, by layer resolved (see resolve_settings), with the warehouse."""
+        return resolve_settings() | {"quern.warehouse": self.store.warehouse, "quern.namespace": self.namespace}
+
+    @property
+    def reference_semantics(self) -> dict[str, str]:
+        """The Spark settings that fix the meaning of both surfaces, as they are in force."""
+        return {key: self.spark.conf.get(key) for key in SEMANTICS}
+
     @property
     def read(self):
         from quern.sources.reader import DataFrameReader

@@ -7,6 +7,7 @@ row, only they are rewritten, and one commit swaps them. If another writer commi
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +27,15 @@ def _rows(table: Table, files: list[DataFile]) -> DataFrame:
     return table.store.scan(files, table.metadata.schema(), place=True)
 
 
-def _own(path: str) -> str:
-    """A path as both listings and _metadata spell it."""
-    from urllib.parse import unquote
-
+def _plain(path: str) -> str:
+    """A listed path with one slash after its scheme."""
     head, _, rest = path.partition(":")
-    return unquote(f"{head}:/{rest.lstrip('/')}")
+    return f"{head}:/{rest.lstrip('/')}"
+
+
+def _own(path: str) -> str:
+    """A path of _metadata, which is an encoded URI, as listings spell it."""
+    return _plain(unquote(path))
 
 
 def _is(condition: Column) -> Column:
@@ -42,7 +46,7 @@ def _is(condition: Column) -> Column:
 def _touched(affected: DataFrame, files: list[DataFile]) -> list[DataFile]:
     """The files among some that affected rows (with _FILE) lie in; their number is bounded by the file list."""
     found = {_own(r[0]) for r in affected.select(_FILE).distinct().collect()}
-    return [f for f in files if _own(f.path) in found]
+    return [f for f in files if _plain(f.path) in found]
 
 
 def delete(store: TableStore, name: Name, condition: str | None, alias: str | None = None) -> Table:
@@ -54,10 +58,10 @@ def delete(store: TableStore, name: Name, condition: str | None, alias: str | No
             return store.append_snapshot(table.metadata, "delete", [], {f.path for f in files}) if files else None
         rows = _rows(table, files).alias(alias or name.table)
         hit = {_own(r[0]): r[1] for r in rows.where(_is(F.expr(condition))).groupBy(_FILE).count().collect()}
-        touched = [f for f in files if _own(f.path) in hit]
+        touched = [f for f in files if _plain(f.path) in hit]
         if not touched:
             return None
-        part = [f for f in touched if hit[_own(f.path)] < f.rows]
+        part = [f for f in touched if hit[_plain(f.path)] < f.rows]
         stay = _rows(table, part).alias(alias or name.table).where(~_is(F.expr(condition))).drop(_FILE, _ROW)
         written = store.write_files(table, stay) if part else []
         return store.append_snapshot(table.metadata, "overwrite" if written else "delete", written, {f.path for f in touched})

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import asdict, dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DataType, DecimalType, NumericType, StructField, StructType
 
 from quern.errors import AnalysisException
 
@@ -26,10 +27,14 @@ class Transform:
     width: int
     name: str
 
-    def column(self, source: Column) -> Column:
-        """The partition value, as text in the folder's name."""
+    def column(self, source: Column, data_type: DataType) -> Column:
+        """The partition value of a column of that type, as text in the folder's name."""
         if self.kind == "bucket":
             return F.pmod(F.hash(source), F.lit(self.width))
+        if self.kind == "truncate" and isinstance(data_type, NumericType):
+            # The multiple of the width at or below a number; of a decimal, in units of its last digit.
+            step = F.lit(Decimal(self.width).scaleb(-data_type.scale) if isinstance(data_type, DecimalType) else self.width)
+            return (source - F.pmod(source, step)).cast(data_type)
         if self.kind == "truncate":
             return F.substring(source.cast("string"), 1, self.width)
         if self.kind in TIME_FORMATS:
