@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from quern.llm import common
 
-#: Vectors that one block of codes or of queries holds.
-CODE_BLOCK, QUERY_BLOCK = 16_384, 512
+#: Queries that one block holds.
+QUERY_BLOCK = 512
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -98,9 +98,9 @@ def search(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 10,
-    codebooks: int = 8,
+    codebooks: int = 16,
     words: int = 128,
-    beam: int = 8,
+    beam: int = 4,
     rounds: int = 2,
     shortlist: int = 256,
     sample: int = 16_384,
@@ -108,7 +108,8 @@ def search(
     """query_id, rank, vec_id, score (distance) of the k nearest found; vectors and queries have vec_id and embedding.
 
     `sample` bounds the vectors that the codebooks are fitted on, chosen by a hash of their content; every vector is
-    indexed. A candidate with the query's own id is not returned.
+    indexed. A candidate with the query's own id is not returned. Repeated rows, of one id and one vector, count once; an id with
+    several vectors is a candidate with each, and asked with each its results are those of all its vectors together.
     """
     spark = vectors.sparkSession
 
@@ -120,11 +121,11 @@ def search(
 
     near = Window.partitionBy("key", "salt").orderBy("vec_id")
     rows = valid(vectors).withColumn("key", F.xxhash64("x")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
-    rows = rows.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1)
-    unique = rows.groupBy("x").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    unique = common.checkpointed(unique.withColumn("id", F.col("ids")[0]).withColumn("block", F.pmod(F.xxhash64("x"), F.lit(1 << 30))))
+    rows = rows.withColumn("n", F.dense_rank().over(near)).where(F.col("n") <= k + 1)
+    unique = rows.groupBy("key", "x").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
+    unique = common.checkpointed(unique.withColumnRenamed("key", "id").withColumn("block", F.pmod(F.xxhash64("x"), F.lit(1 << 30))))
     total = unique.count()
-    asked = valid(queries).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
+    asked = valid(queries).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")).distinct()
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
@@ -172,7 +173,7 @@ def search(
     blocks = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks.cast("long") - 1)))
     found = codes.join(blocks, "lane").mapInPandas(score, "query_id long, id long, near double")
     by_score = Window.partitionBy("query_id").orderBy("near", "id")
-    found = found.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= shortlist).select("query_id", "id")
+    found = found.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= shortlist).select("query_id", "id").distinct()
     exact = found.join(unique.select("id", "x", "ids"), "id").join(asked, "query_id")
     square = F.aggregate(F.zip_with("x", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
     exact = exact.select("query_id", F.sqrt(square).alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")

@@ -61,6 +61,7 @@ class Bpe:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.pieces = {rank: token for token, rank in self.ranks.items()}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         parts = [
             (self.ranks[token[:i]], self.ranks[token[i:]], rank)
@@ -88,11 +89,14 @@ class Bpe:
                 at += 1
             yield from self._lot(lot)
 
+    def _decoded(self, ids: list[int]) -> tuple[list[int], bytes]:
+        return ids, b"".join([self.pieces[i] for i in ids])
+
     def _lot(self, words: list[bytes]) -> Iterator[tuple[list[int], bytes]]:
-        found: list[tuple[list[int], bytes] | None] = [([r], w) if (r := self.ranks.get(w)) is not None else None for w in words]
+        found: list[tuple[list[int], bytes] | None] = [self._decoded([r]) if (r := self.ranks.get(w)) is not None else None for w in words]
         for i, word in enumerate(words):
             if found[i] is None and len(word) > LONG_WORD:
-                found[i] = ([self.ranks[x] for x in contract_long(word, self.ranks)], word)
+                found[i] = self._decoded([self.ranks[x] for x in contract_long(word, self.ranks)])
         rest = [i for i, x in enumerate(found) if x is None]
         if rest:
             lengths = np.array([len(words[i]) for i in rest], np.int64)

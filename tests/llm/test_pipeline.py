@@ -57,7 +57,7 @@ def test_stages(spark, corpus, tmp_path):
             pairs = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
             assert set(kept) == {before[root]["doc_id"] for root in set(union(len(prints), pairs))}
         elif name == "suffix-array dedup":
-            want = removed_by_hand([r["text"] for r in before], 400)
+            want = removed_by_hand([r["text"] for r in before], corpus_pipeline.PASSAGE)
             assert sum(w[1] for w in want) > 0
             for r, (_, _, _, left) in zip(before, want, strict=True):
                 assert abs(len(kept[r["doc_id"]].encode()) - len(left)) <= 12  # whole characters only
