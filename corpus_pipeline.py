@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from quern.llm import common, op2_quality, op3_packing, op7_simhash, op8_suffix, op10_lines
 from quern.session import configure
 
+#: Bytes of a passage that goes where it is repeated: passages of over 50 words mostly have 320 or more.
+PASSAGE = 256
+
 
 def _numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__rid", F.monotonically_increasing_id())
@@ -53,10 +56,10 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without what is covered by strings of 400 bytes that also start elsewhere (whole characters)."""
+    """All documents, without what is covered by strings of PASSAGE bytes that also start elsewhere (whole characters)."""
     configure(spark)
     rest = [c for c in docs.columns if c != "text"]
-    found = op8_suffix.dedup(docs, *rest, characters=True)
+    found = op8_suffix.dedup(docs, *rest, length=PASSAGE, characters=True)
     return _with_text(found.withColumn("text", F.col("kept").cast("string")), docs.columns)
 
 
