@@ -9,8 +9,7 @@ on each of its 20 lines make a key: two lines meet if they agree on all points o
 
 Each line is first compared with one other, the most central line (which meets most) under any of its keys, and
 union-find joins what is alike. Under keys whose lines are still in different components, those outside the central
-line's component, the key's main one, then meet the likeliest of a few lines that stand for main components, twice, and
-what is still outside is compared with all lines of other components, so no pair of a key that could still join two is
+line's component, the key's main one, then meet one line that stands for main components, and what is still outside is compared with all lines of other components, so no pair of a key that could still join two is
 left out. Bitmaps of the shingles come before the sets there: they bound the similarity from above, and a pair is ruled
 out only where the bound is below `similar`, so nothing is lost and few pairs have their texts fetched. A large group of
 variants costs about a comparison each.
@@ -39,7 +38,7 @@ AT_ONCE = 4
 #: 0.8 have 8 on average, of 0.6 less than 3.
 STAR_KEYS = 4
 #: Turns in which lines outside the main component of a key meet one line of it, before they meet all.
-TURNS = 2
+TURNS = 1
 #: Longs of a bitmap: each shingle turns one of 64 x WORDS bits.
 WORDS = 32
 #: Parts of the pairs of one line, which keep a line with very many of them out of a single task.
@@ -190,13 +189,13 @@ def kept_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
 
 
 def _next_links(members: DataFrame, lines: DataFrame, similar: float, turn: int) -> DataFrame:
-    """Links (a, b) between roots: each line outside its key's main component is compared with the likeliest of the lines
-    that stand for these components in this turn, one a key."""
+    """Links (a, b) between roots: each line outside its key's main component is compared with one of the lines that stand
+    for these components in this turn, one a key: with that under most of its keys."""
     one = F.struct(F.xxhash64(F.lit(turn), "id").alias("draw"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     stands = common.checkpointed(members.where("root = main").groupBy("key").agg(F.max(one).alias("one")).select("key", "one.b", "one.n_b", "one.bits_b"))
     near = members.where("root <> main").join(stands, "key").where(_possible(similar, "n", "bits", "n_b", "bits_b"))
-    near = near.select("id", F.struct((_differing("bits", "bits_b") / (F.col("n") + F.col("n_b"))).alias("far"), "b", "root", "main").alias("near"))
-    best = near.groupBy("id").agg(F.min("near").alias("near")).select(F.col("near.b").alias("a"), F.col("id").alias("b"), "near.root", "near.main")
+    near = near.groupBy("id", "b", "root", "main").agg(F.count(F.lit(1)).alias("keys"))
+    best = near.groupBy("id").agg(F.max(F.struct("keys", "b", "root", "main")).alias("near")).select(F.col("near.b").alias("a"), F.col("id").alias("b"), "near.root", "near.main")
     best = common.checkpointed(best)
     found = similar_pairs(best.select("a", "b"), lines, similar)
     return best.join(found, ["a", "b"]).select(F.col("root").alias("a"), F.col("main").alias("b"))
