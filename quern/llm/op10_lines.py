@@ -172,7 +172,9 @@ def kept_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     mixed = common.checkpointed(mixed.where("low <> high").select("key", "main"))
     members = common.checkpointed(members.drop("central").join(mixed, "key"))
     bitmaps = bitmaps_of(lines.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"))
-    members = common.checkpointed(members.join(bitmaps, "id"))
+    # All keys of a line, so that a pair is met under the first of its common keys alone.
+    own = members.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    members = common.checkpointed(members.join(bitmaps.join(own, "id"), "id"))
     places = lines.select("id", "place").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     for turn in range(TURNS + 1):
         found = _last_links(members, lines, similar) if turn == TURNS else _next_links(members, lines, similar, turn)
@@ -204,8 +206,10 @@ def _next_links(members: DataFrame, lines: DataFrame, similar: float, turn: int)
 def _last_links(members: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
     """Links (a, b) between roots: each line outside its key's main component meets all lines of other components."""
     members = members.withColumn("apart", F.col("root") != F.col("main"))
-    one, other = (members.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root", "apart", "n", "bits")]) for e in "ab")
+    one, other = (members.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root", "apart", "n", "bits", "keys")]) for e in "ab")
     more = one.where("apart_a").join(other, "key").where((F.col("root_a") != F.col("root_b")) & (~F.col("apart_b") | (F.col("id_a") < F.col("id_b"))) & _possible(similar, "n_a", "bits_a", "n_b", "bits_b"))
+    # A key that is no longer here has one component left, so its pairs are joined.
+    more = more.where(F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key"))
     swap = F.col("id_a") > F.col("id_b")
     pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
     more = more.select(pick("id_a", "id_b", "a"), pick("id_b", "id_a", "b"), pick("root_a", "root_b", "root_a"), pick("root_b", "root_a", "root_b"))
