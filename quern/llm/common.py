@@ -33,11 +33,14 @@ def unused(base: str, *names: str) -> str:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for cut lineages: the session's spark.checkpoint.dir.
 
-    Only where that setting is absent and no folder was chosen (tests, local mode) one is made.
+    Only where that setting is absent and no folder was chosen one is made, in local mode alone: executors elsewhere
+    couldn't read it.
     """
     context = spark.sparkContext
     own = context._jsc.sc().getCheckpointDir()
     if not context.getConf().get("spark.checkpoint.dir") and own.isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
         own = context._jsc.sc().getCheckpointDir()
     return own.get()

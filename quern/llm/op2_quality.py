@@ -37,7 +37,8 @@ STEPS = 4
 REWEIGHT, REJECT = 12.833, 38.0
 #: Bins of squared distances to an octave.
 BINS = 32
-#: Rows that a group needs for an estimate of its own; groups whose estimates may be broadcast.
+#: Rows that a group needs for an estimate of its own, by default (five statistics have 20 parameters); groups whose
+#: estimates may be broadcast.
 LEAST, BROADCAST_GROUPS = 200, 100_000
 WORD_WINDOW = 5
 PAIRS = [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
@@ -174,15 +175,18 @@ def _medians(rows: DataFrame) -> DataFrame:
     return middle.groupBy(*KEYS).agg(*centre).select(*KEYS, F.lit(1).alias("start"), F.lit(0.0).alias("ln_det"), *[f"m{i}" for i in range(len(STATS))], *scale)
 
 
-def verdicts(figures: DataFrame) -> DataFrame:
-    """figures (doc_id, lang, source and base figures) with kept and distance (null where base_failed)."""
+def verdicts(figures: DataFrame, least: int = LEAST) -> DataFrame:
+    """figures (doc_id, lang, source and base figures) with kept and distance (null where base_failed).
+
+    A language and source with under `least` passing rows takes its language's estimate, a language with fewer all rows'.
+    """
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     figures = common.checkpointed(figures.withColumn("__lang", key("lang")).withColumn("__source", key("source")))
     passed = figures.where(~F.col("base_failed")).selectExpr("__lang", "__source", *statistics_sql())
     groups = F.expr("explode(array(struct(2 as level, __lang as lang_key, __source as source_key), struct(1 as level, __lang as lang_key, '' as source_key), struct(0 as level, '' as lang_key, '' as source_key)))")
     z = [f"z{i}" for i in range(len(STATS))]
     rows = passed.select(groups.alias("g"), *z).select("g.*", *z)
-    sizes = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size")).where((F.col("size") >= LEAST) | (F.col("level") == 0))
+    sizes = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size")).where((F.col("size") >= least) | (F.col("level") == 0))
     sizes = common.checkpointed(sizes)
     small = sizes.count() <= BROADCAST_GROUPS
     rows = rows.join(F.broadcast(sizes.select(*KEYS)) if small else sizes.select(*KEYS), KEYS)

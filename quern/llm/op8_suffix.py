@@ -75,6 +75,9 @@ def anchors(data: bytes, starts: np.ndarray, sizes: np.ndarray, length: int) ->
     at = np.arange(len(hashes), dtype=np.uint64)
     least = _window_min(hashes >> bits << bits | at, length - GRAM + 1)
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # The low bits made room for the places: windows in which they decide are looked at again, whatever else the lot holds.
+    for i in np.flatnonzero(hashes[anchor] != _window_min(hashes, length - GRAM + 1)):
+        anchor[i] = i + np.argmin(hashes[i : i + length - GRAM + 1])
     windows = sizes - length + 1
     text = np.repeat(np.arange(len(sizes)), windows)
     place = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)

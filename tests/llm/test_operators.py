@@ -121,6 +121,20 @@ def test_quality_rejects_outliers_of_their_group_only(spark):
     assert not any(k for i, (k, _) in kept.items() if i >= len(clean))
 
 
+def test_quality_groups_on_either_side_of_the_least_size(spark):
+    """Sources of 150 rows: one whose own habit is many symbols keeps its rows under its own estimate, not under its language's."""
+    clean = prose(450, 8, 200)
+    marked = [" ".join(f"{w}%" for w in t.split()) for t in prose(150, 9, 200)]
+    rows = [(i, t, "en", "odd" if i >= len(clean) else f"s{i % 3}") for i, t in enumerate(clean + marked)]
+    figures = common.checkpointed(op2_quality.base(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "lang", "source"))
+    share = {}
+    for least in (100, 200):
+        found = op2_quality.verdicts(figures, least).where("source = 'odd' and not base_failed").collect()
+        share[least] = sum(r["kept"] for r in found) / len(found)
+    assert share[100] > 0.95
+    assert share[200] < 0.05
+
+
 def test_quality_empty_and_odd(spark):
     assert op2_quality.verdicts(op2_quality.base(docs(spark, ["x"]).limit(0), "lang", "source")).collect() == []
     assert op2_quality.verdicts(op2_quality.base(docs(spark, ODD), "lang", "source")).count() == len(ODD)
@@ -460,6 +474,24 @@ def test_suffix_repeats_have_all_their_occurrences(spark):
     assert max(len(g) for g in groups.values()) == 30
 
 
+def test_anchors_do_not_depend_on_what_else_is_hashed(monkeypatch):
+    """Hashes that differ in their lowest bits alone: whole hashes decide, the leftmost of equal ones wins."""
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 123, 600, np.uint8).tobytes()
+    own = {bytes(text[i : i + op8_suffix.GRAM]): int(rng.integers(0, 4)) for i in range(len(text) - op8_suffix.GRAM + 1)}
+    monkeypatch.setattr(op8_suffix, "gram_hashes", lambda data: np.array([own.get(data[i : i + op8_suffix.GRAM], 7) for i in range(len(data) - op8_suffix.GRAM + 1)], np.uint64))
+    length = 100
+    window = length - op8_suffix.GRAM + 1
+    hashes = [own[text[i : i + op8_suffix.GRAM]] for i in range(len(text) - op8_suffix.GRAM + 1)]
+    want = [min(range(i, i + window), key=lambda j: (hashes[j], j)) for i in range(len(text) - length + 1)]
+    for others in (0, 40):
+        sizes = np.array([len(text), *[200] * others], np.int64)
+        data = text + b"-" * (200 * others)
+        t, lo, hi, p, _ = op8_suffix.anchors(data, np.cumsum(sizes) - sizes, sizes, length)
+        got = [x for k, a, b, x in zip(t, lo, hi, p, strict=True) if k == 0 for _ in range(a, b + 1)]
+        assert got == want
+
+
 def test_suffix_whole_characters_and_empty(spark):
     texts = ["é" * 200 + "x", "y" + "é" * 200]
     rows = op8_suffix.dedup(docs(spark, texts), "doc_id", "lang", length=100, characters=True).collect()
@@ -639,3 +671,14 @@ def test_recall_of_short_lists(spark):
         met += len(set(near) & {r["vec_id"] for r in found if r["query_id"] == q})
         total += 10
     assert met >= 0.9 * total
+
+
+def test_checkpoints_need_a_shared_folder_off_local_mode(spark):
+    class Found:
+        def __init__(self, **names):
+            self.__dict__.update(names)
+
+    jsc = Found(sc=lambda: Found(getCheckpointDir=lambda: Found(isEmpty=lambda: True)))
+    context = Found(_jsc=jsc, master="spark://one:7077", getConf=lambda: {})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.checkpoint_folder(Found(sparkContext=context))

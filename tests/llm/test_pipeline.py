@@ -76,3 +76,15 @@ def test_run_and_empty(spark, corpus, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         frame = common.checkpointed(stage(spark, frame, str(tmp_path)))
         assert frame.where(F.lit(True)).collect() == []
+
+
+def test_stages_pass_columns_of_any_name_through(spark, corpus, tmp_path):
+    rows = [(*r[:4], f"own {r[0]}", "kept") for r in corpus[:60]]
+    names = [("__rid", "string"), ("__kept", "string")]
+    frame = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, lang string, source string, " + ", ".join(map(" ".join, names)))
+    frame = common.written(frame.coalesce(1))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        made = common.written(stage(spark, frame, str(tmp_path)))
+        assert made.columns == frame.columns
+        assert all(r["__rid"] == f"own {r['doc_id']}" and r["__kept"] == "kept" for r in made.collect())
+        frame = made
