@@ -12,8 +12,9 @@ Distribution: a partition's texts are taken in blocks of bounded size. A block r
 strings with training counts, packed by bucket, a hash of the two nearest context bytes, so whatever grows is aggregated
 before it is shuffled. A bucket's task merges them and weighs the trees of depth `depth` to 2; the two shallowest levels,
 at most 256 x 255 rows, are summed for all and shared. With those a second pass over the buckets sends each block the
-log probabilities of its own strings, and the block's texts add them up. Word counts for the unigram base go the same
-way, under 64-bit hashes.
+log probabilities of its own strings in their order, which the block finds again from its texts, so no string travels
+back; a checksum of the strings goes along. The block's texts add the values up. Word counts for the unigram base go the
+same way, under 64-bit hashes.
 
 Defined results: a null text is the empty text, one end token; repeated rows are counted as often as they occur; a null
 doc_id counts as the empty text in the fold; an empty table gives no rows; extra columns are not read.
@@ -44,6 +45,7 @@ PLACES = 64
 TABLE = np.random.default_rng(20).integers(0, 1 << 64, (PLACES, 256), np.uint64)
 #: The key of the end token in the unigram base.
 END_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n", 20))
+CHANGED = "a block's texts changed between two readings of the table"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -51,15 +53,24 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
+def _compressed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _columns(data: bytes, *kinds: type) -> list[np.ndarray]:
+    """The arrays of these types whose planes were compressed one after the other."""
+    sizes = [np.dtype(t).itemsize for t in kinds]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(sum(sizes), -1)
+    return [np.ascontiguousarray(x.T).view(t).ravel() for x, t in zip(np.split(planes, np.cumsum(sizes)[:-1]), kinds, strict=True)]
+
+
 def _pack(keys: np.ndarray, values: np.ndarray) -> bytes:
     """Sorted uint64 keys with 4-byte values, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(_planes(np.diff(keys, prepend=np.uint64(0))) + _planes(values))
+    return _compressed(_planes(np.diff(keys, prepend=np.uint64(0))) + _planes(values))
 
 
 def _unpack(data: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    planes = np.frombuffer(raw, np.uint8).reshape(12, -1)
-    steps, values = (np.ascontiguousarray(x.T).view(t).ravel() for x, t in ((planes[:8], np.uint64), (planes[8:], kind)))
+    steps, values = _columns(data, np.uint64, kind)
     return np.cumsum(steps, dtype=np.uint64), values
 
 
@@ -142,7 +153,7 @@ class Lookup:
         left = np.flatnonzero((out < 0) | (self.keys[out] != wanted)) if len(self.keys) else np.arange(len(wanted))
         while len(left):
             if (out[left] < 0).any():
-                raise ValueError("a block's texts changed between two readings of the table")
+                raise ValueError(CHANGED)
             at[left] = (at[left] + 1) & (len(self.slots) - 1)
             out[left] = self.slots[at[left]]
             left = left[self.keys[out[left]] != wanted[left]]
@@ -167,6 +178,14 @@ def _bucket(keys: np.ndarray, kind: int, depth: int, buckets: int) -> np.ndarray
     return (((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
 
 
+def _dealt(keys: np.ndarray, kind: int, depth: int, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Each bucket that sorted keys fall into, with the places of its keys, in order."""
+    own = _bucket(keys, kind, depth, buckets)
+    order = np.argsort(own.astype(np.uint16) if buckets < 1 << 16 else own, kind="stable")
+    starts = np.flatnonzero(np.diff(own[order], prepend=-1))
+    return [(kind * buckets + int(own[some[0]]), some) for some in np.split(order, starts[1:])]
+
+
 def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """A partition's rows with their block: a new one begins once the texts so far reach the next multiple of BLOCK bytes."""
     first, size = TaskContext.get().partitionId() << 32, 0
@@ -193,11 +212,9 @@ def _count(depth: int, buckets: int):
             if not parts:
                 continue
             k, c = _total(parts)
-            own = _bucket(k, kind, depth, buckets)
-            order = np.argsort(own.astype(np.uint16) if buckets < 1 << 16 else own, kind="stable")
-            starts = np.flatnonzero(np.diff(own[order], prepend=-1))
-            for some in np.split(order, starts[1:]):
-                yield pa.RecordBatch.from_arrays([pa.array([kind * buckets + int(own[some[0]])], pa.int64()), pa.array([block], pa.int64()), pa.array([_pack(k[some], c[some].astype(np.uint32))], pa.binary())], names=["bucket", "block", "data"])
+            for bucket, some in _dealt(k, kind, depth, buckets):
+                data = _pack(k[some], c[some].astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "block", "data"])
 
     def _settled(raw: list) -> tuple[np.ndarray, np.ndarray]:
         """One part of a list of parts and of arrays of raw keys."""
@@ -392,7 +409,8 @@ def _sums(depth: int, buckets: int):
 
 
 def _answer(depth: int, buckets: int, top):
-    """(kind, block, data): each block's keys with their training counts (words) or ln probabilities (strings)."""
+    """(bucket, block, sum, data): training counts (words) or ln probabilities (strings) of a block's keys in a bucket, in
+    their order, and the keys' checksum."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held, keys, counts in _by_bucket(rows):
@@ -400,21 +418,44 @@ def _answer(depth: int, buckets: int, top):
             values = counts.astype(np.uint32) if kind == WORDS else Trees(keys, counts, depth).ln_probability(top.value).astype(np.float32)
             for block, data in held:
                 k = _unpack(data, np.uint32)[0]
-                found = _pack(k, values[np.searchsorted(keys, k)])
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([block], pa.int64()), pa.array([found], pa.binary())], names=["kind", "block", "data"])
+                found = _compressed(_planes(values[np.searchsorted(keys, k)]))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), pa.array([common.crc32(k.tobytes())], pa.int64()), pa.array([found], pa.binary())], names=["bucket", "block", "sum", "data"])
 
     return common.released(run)
 
 
-def _score(depth: int, tokens: int, distinct: int):
+def _own_keys(texts: list[str | None], kind: int, depth: int) -> np.ndarray:
+    """The distinct keys of texts, in order."""
+    keys, new, size = np.zeros(0, np.uint64), [], 0
+    for start, stop in _lots(texts):
+        streams = Streams([_words(t) for t in texts[start:stop]])
+        new.append(streams.keys() if kind == WORDS else streams.strings(depth))
+        size += len(new[-1])
+        if size > MERGE or stop == len(texts):
+            keys, new, size = _distinct(np.concatenate([keys, *new]))[0], [], 0
+    return keys
+
+
+def _score(depth: int, buckets: int, tokens: int, distinct: int):
     """From a block's texts and its answers: the scores of its texts."""
 
+    def lookup(whole: list[str | None], answers: dict[int, tuple[int, bytes]], kind: int) -> Lookup:
+        keys = _own_keys(whole, kind, depth)
+        value = np.uint32 if kind == WORDS else np.float32
+        values = np.empty(len(keys), value)
+        for bucket, some in _dealt(keys, kind, depth, buckets):
+            sum_, data = answers.pop(bucket, (None, b""))
+            if sum_ != common.crc32(keys[some].tobytes()):
+                raise ValueError(CHANGED)
+            values[some] = _columns(data, value)[0]
+        return Lookup(keys, values)
+
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        found: dict[int, list] = {WORDS: [], STRINGS: []}
-        for kind, data in zip(answers.column("kind").to_pylist(), answers.column("data"), strict=True):
-            found[kind].append(_unpack(data.as_py(), np.uint32 if kind == WORDS else np.float32))
-        counts, ln = (Lookup(*[np.concatenate([p[i] for p in found[kind]]) for i in range(2)]) for kind in (WORDS, STRINGS))
         whole = texts.column("text").to_pylist()
+        found = {b: (s, d) for b, s, d in zip(*(answers.column(c).to_pylist() for c in ("bucket", "sum", "data")), strict=True)}
+        counts, ln = (lookup(whole, found, kind) for kind in (WORDS, STRINGS))
+        if found:
+            raise ValueError(CHANGED)
         out: tuple[list, ...] = ([], [], [], [])
         for start, stop in _lots(whole):
             streams = Streams([_words(t) for t in whole[start:stop]])
@@ -448,10 +489,10 @@ def score(docs: DataFrame, depth: int = 7, folds: int = 7, held_out: int = 2) ->
     sums = sums.groupBy("near").agg(F.sum("zeros"), F.sum("ones"), F.sum("ln")).collect()
     tokens, distinct = next(((r[1], r[2]) for r in sums if r[0] < 0), (0, 0))
     top = spark.sparkContext.broadcast(shallow([tuple(r) for r in sums if r[0] >= 0]))
-    answers = counted.mapInArrow(_answer(depth, buckets, top), "kind long, block long, data binary")
+    answers = counted.mapInArrow(_answer(depth, buckets, top), "bucket long, block long, sum long, data binary")
     texts = docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(_tag, "doc_id long, held_out boolean, text string, block long")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, tokens, distinct), schema)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, buckets, tokens, distinct), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -682,3 +683,19 @@ def test_checkpoints_need_a_shared_folder_off_local_mode(spark):
     context = Found(_jsc=jsc, master="spark://one:7077", getConf=lambda: {})
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.checkpoint_folder(Found(sparkContext=context))
+
+
+def test_ctw_raises_an_error_if_a_block_changed():
+    texts = pa.table({"doc_id": [1], "held_out": [False], "text": ["some words"]})
+    run = op5_ctw._score(3, 4, 3, 3)
+    answers = {"bucket": [], "sum": [], "data": []}
+    for kind in (op5_ctw.WORDS, op5_ctw.STRINGS):
+        keys = op5_ctw._own_keys(["some words"], kind, 3)
+        for bucket, some in op5_ctw._dealt(keys, kind, 3, 4):
+            answers["bucket"].append(bucket)
+            answers["sum"].append(common.crc32(keys[some].tobytes()))
+            answers["data"].append(op5_ctw._compressed(op5_ctw._planes(np.ones(len(some), np.uint32 if kind == op5_ctw.WORDS else np.float32))))
+    assert run(texts, pa.table(answers)).column("n_known").to_pylist() == [3]
+    for other in ("some word", "", None, "other words and some"):
+        with pytest.raises(ValueError):
+            run(texts.set_column(2, "text", pa.array([other], pa.string())), pa.table(answers))
