@@ -172,12 +172,13 @@ def kept_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     mixed = common.checkpointed(mixed.where("low <> high").select("key", "main"))
     members = common.checkpointed(members.drop("central").join(mixed, "key"))
     bitmaps = bitmaps_of(lines.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"))
-    # All keys of a line, so that a pair is met under the first of its common keys alone.
+    # All keys of a line, so that a pair is met under the first of its common keys alone. Bitmaps and keys are wide, so they
+    # are kept once a line, not once a line and key, and join the members where they are needed.
     own = members.groupBy("id").agg(F.collect_list("key").alias("keys"))
-    members = common.checkpointed(members.join(bitmaps.join(own, "id"), "id"))
+    known = common.checkpointed(bitmaps.join(own, "id"))
     places = lines.select("id", "place").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     for turn in range(TURNS + 1):
-        found = _last_links(members, lines, similar) if turn == TURNS else _next_links(members, lines, similar, turn)
+        found = _last_links(members, known, lines, similar) if turn == TURNS else _next_links(members, known, lines, similar, turn)
         # Components of the components so far.
         now = common.checkpointed(components(found)).select(F.col("node").alias("root"), F.col("root").alias("now"))
         places = places.join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
@@ -190,22 +191,25 @@ def kept_lines(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     return places.select("place.rid", "place.pos")
 
 
-def _next_links(members: DataFrame, lines: DataFrame, similar: float, turn: int) -> DataFrame:
+def _next_links(members: DataFrame, known: DataFrame, lines: DataFrame, similar: float, turn: int) -> DataFrame:
     """Links (a, b) between roots: each line outside its key's main component is compared with one of the lines that stand
     for these components in this turn, one a key: with that under most of its keys."""
-    one = F.struct(F.xxhash64(F.lit(turn), "id").alias("draw"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    stands = common.checkpointed(members.where("root = main").groupBy("key").agg(F.max(one).alias("one")).select("key", "one.b", "one.n_b", "one.bits_b"))
-    near = members.where("root <> main").join(stands, "key").where(_possible(similar, "n", "bits", "n_b", "bits_b"))
-    near = near.groupBy("id", "b", "root", "main").agg(F.count(F.lit(1)).alias("keys"))
+    one = F.struct(F.xxhash64(F.lit(turn), "id").alias("draw"), F.col("id").alias("b"))
+    stands = common.checkpointed(members.where("root = main").groupBy("key").agg(F.max(one).alias("one")).select("key", "one.b"))
+    # A pair meets under several keys but is compared once.
+    near = members.where("root <> main").join(stands, "key").groupBy("id", "b", "root", "main").agg(F.count(F.lit(1)).alias("keys"))
+    bits = known.select("id", "n", "bits")
+    near = near.join(bits, "id").join(bits.toDF("b", "n_b", "bits_b"), "b").where(_possible(similar, "n", "bits", "n_b", "bits_b"))
+    near = near.select("id", "b", "root", "main", "keys")
     best = near.groupBy("id").agg(F.max(F.struct("keys", "b", "root", "main")).alias("near")).select(F.col("near.b").alias("a"), F.col("id").alias("b"), "near.root", "near.main")
     best = common.checkpointed(best)
     found = similar_pairs(best.select("a", "b"), lines, similar)
     return best.join(found, ["a", "b"]).select(F.col("root").alias("a"), F.col("main").alias("b"))
 
 
-def _last_links(members: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
+def _last_links(members: DataFrame, known: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
     """Links (a, b) between roots: each line outside its key's main component meets all lines of other components."""
-    members = members.withColumn("apart", F.col("root") != F.col("main"))
+    members = members.withColumn("apart", F.col("root") != F.col("main")).join(known, "id")
     one, other = (members.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root", "apart", "n", "bits", "keys")]) for e in "ab")
     more = one.where("apart_a").join(other, "key").where((F.col("root_a") != F.col("root_b")) & (~F.col("apart_b") | (F.col("id_a") < F.col("id_b"))) & _possible(similar, "n_a", "bits_a", "n_b", "bits_b"))
     # A key that is no longer here has one component left, so its pairs are joined.
