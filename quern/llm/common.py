@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
+#: Spark's setting that removes the shuffle files of a query when it has run.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +48,23 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return own.get()
 
 
+@contextlib.contextmanager
+def _swept(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gives its shuffle files back when it ends; else they stay until the driver collects garbage."""
+    before = spark.conf.get(SWEEP)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SWEEP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut df's lineage with a reliable checkpoint."""
+    """Cut df's lineage with a reliable checkpoint. Shuffle files of the way there go."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _swept(df.sparkSession):
+        # A frame takes the setting along when it is made.
+        return df.select("*").checkpoint(eager=True)
 
 
 def _new_path(spark: SparkSession) -> str:
@@ -63,7 +78,8 @@ def _new_path(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet to the checkpoint folder and read again."""
     path = _new_path(df.sparkSession)
-    df.write.parquet(path)
+    with _swept(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -75,7 +91,8 @@ def bucketed(df: DataFrame, by: str) -> DataFrame:
     spark = df.sparkSession
     name, path = f"quern_{uuid.uuid4().hex}", _new_path(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, by).saveAsTable(name)
+    with _swept(spark):
+        df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, by).saveAsTable(name)
     out = spark.table(name)
     out.schema  # noqa: B018  resolved, with its buckets, before the name goes
     spark.sql(f"DROP TABLE {name}")

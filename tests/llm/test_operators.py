@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -592,6 +594,27 @@ def test_line_dedup_meets_near_copies_of_all_lengths(spark):
     assert got == lines_by_hand(texts, 0.8) == {(i, 0) for i in range(0, len(texts), 2)}
 
 
+def test_checkpoints_leave_no_shuffle_files(spark):
+    """However often lineage is cut, what was shuffled on the way doesn't stay on disk."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        return {x for f in disk.localDirs() for _, _, names in os.walk(f.getPath()) for x in names if x.startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(name)
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    for _ in range(3):
+        rows = common.checkpointed(rows.groupBy("k").agg(F.sum("n").alias("n")).repartition("n"))
+    rows = common.bucketed(common.written(rows.repartition("k")), "k")
+    assert rows.agg(F.sum("n")).first()[0] == 1000 and spark.conf.get(name) == setting
+    until = time.time() + 20
+    while len(files() - before) > 12 and time.time() < until:
+        time.sleep(0.2)
+    # Those of the sum alone.
+    assert len(files() - before) <= 12
+
+
 def test_toxicity_counts_every_string_of_the_sample(spark, monkeypatch):
     """Two million distinct strings, nearly all of them rare: none is left out."""
     rng = np.random.default_rng(14)
