@@ -21,7 +21,8 @@ repeats of each other; an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ GRAM = 64
 LOT, COMBINE = 1 << 19, 1 << 17
 #: Different segments of an anchor that are compared in one task, and anchors with more that may be broadcast.
 LARGEST, BROADCAST = 4096, 100_000
+#: Bytes of the shorter repeats that the query counts besides: a passage of over 50 words often has less than 400.
+PASSAGE = 256
 ROWS = "group long, rid long, start long, size long"
 ANCHORS = "h long, s1 long, s2 long, m long, rid long, lo long, hi long, p long"
 
@@ -379,21 +382,28 @@ def _whole(data: bytes, start: int, stop: int) -> tuple[int, int]:
     return start, stop
 
 
-def _removed(columns: list[str], characters: bool):
-    """From rows (columns, packed, spans): the columns, n_bytes, n_removed, n_spans and the remaining bytes."""
+def _runs(spans: list[dict], length: int) -> list[tuple[int, int]]:
+    """(start, stop) of the maximal runs that the spans of a length cover."""
+    runs: list[tuple[int, int]] = []
+    for start, stop in sorted((s["start"], s["start"] + s["size"]) for s in spans if s["length"] == length):
+        if runs and start <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(stop, runs[-1][1]))
+        else:
+            runs.append((start, stop))
+    return runs
+
+
+def _removed(columns: list[str], length: int, also: Sequence[int], characters: bool):
+    """From rows (columns, packed, spans): the columns, n_bytes, n_removed, n_spans, the remaining bytes and n_covered of each in also."""
+    counts = [f"n_covered_{n}" for n in also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in common.batches(batches, 1 << 20):
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], *([] for _ in also))
             for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                data = unpack(packed)
-                runs: list[tuple[int, int]] = []
-                for start, stop in sorted((s["start"], s["start"] + s["size"]) for s in spans or ()):
-                    if runs and start <= runs[-1][1]:
-                        runs[-1] = (runs[-1][0], max(stop, runs[-1][1]))
-                    else:
-                        runs.append((start, stop))
+                data, spans = unpack(packed), spans or []
+                runs = _runs(spans, length)
                 if characters:
                     runs = [_whole(data, *x) for x in runs]
                 pieces, at = [], 0
@@ -401,30 +411,34 @@ def _removed(columns: list[str], characters: bool):
                     pieces.append(data[at:start])
                     at = stop
                 pieces.append(data[at:])
-                for column, x in zip(out, (len(data), sum(y - x for x, y in runs), len(runs), b"".join(pieces)), strict=True):
+                covers = [sum(y - x for x, y in _runs(spans, n)) for n in also]
+                for column, x in zip(out, (len(data), sum(y - x for x, y in runs), len(runs), b"".join(pieces), *covers), strict=True):
                     column.append(x)
-            numbers = [pa.array(x, pa.int64()) for x in out[:3]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *numbers, pa.array(out[3], pa.binary())], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"])
+            made = [pa.array(x, pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(out)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *made], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept", *counts])
 
     return common.released(run)
 
 
-def dedup(docs: DataFrame, *keep: str, length: int = 400, largest: int = LARGEST, characters: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *keep: str, length: int = 400, largest: int = LARGEST, characters: bool = False, also: Sequence[int] = ()) -> DataFrame:
     """The columns to keep of docs (those and text), with n_bytes, n_removed, n_spans and kept, the remaining bytes.
 
-    characters: remove whole UTF-8 characters only, so that what remains is text. docs must give the same rows in the same
+    characters: remove whole UTF-8 characters only, so that what remains is text. also: other lengths; for each n,
+    n_covered_<n> counts the bytes that strings of n bytes cover which also start elsewhere; these stay. docs must give the same rows in the same
     partitions whenever it is read: a table or a checkpoint.
     """
     own = [f"__{i}" for i in range(len(keep))]
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], "text")
-    spans = covered(rows, length, largest).groupBy("rid").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
+    found = [covered(rows, n, largest).withColumn("length", F.lit(n)) for n in dict.fromkeys((length, *also))]
+    spans = functools.reduce(DataFrame.union, found).groupBy("rid").agg(F.collect_set(F.struct("length", "start", "size")).alias("spans"))
     kinds = ", ".join(f"{o} {rows.schema[o].dataType.simpleString()}" for o in own)
     texts = rows.mapInArrow(common.released(_packed), f"rid long, {kinds}, packed binary")
     out = texts.join(spans.hint("shuffle_hash"), "rid", "left").select(*own, "packed", "spans")
-    out = out.mapInArrow(_removed(own, characters), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    counts = "".join(f", n_covered_{n} long" for n in also)
+    out = out.mapInArrow(_removed(own, length, also, characters), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary{counts}")
     return out.withColumnsRenamed(dict(zip(own, keep, strict=True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup(common.table(spark, sf_dir, "documents"), "doc_id")
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = dedup(common.table(spark, sf_dir, "documents"), "doc_id", also=[PASSAGE])
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), f"n_covered_{PASSAGE}")

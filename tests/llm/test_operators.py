@@ -477,6 +477,21 @@ def test_suffix_repeats_have_all_their_occurrences(spark):
     assert max(len(g) for g in groups.values()) == 30
 
 
+def test_suffix_query_counts_shorter_passages(spark, tmp_path):
+    """A passage of over 50 words and under 400 bytes: it stays, as 400 bytes are the contract's, and is counted."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage, long = prose(52), prose(90)
+    texts = [None, "", *[f"{prose(40)} {passage} {prose(40)}" for _ in range(6)], *[f"{prose(9)} {long} {prose(90)}" for _ in range(3)], *[prose(120) for _ in range(6)]]
+    assert len(passage) < 400 < len(long)
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in op8_suffix.query(spark, str(tmp_path)).collect()}
+    whole, short = removed_by_hand(texts, 400), removed_by_hand(texts, op8_suffix.PASSAGE)
+    assert got == {i: (*w[:3], hashlib.sha256(w[3]).hexdigest(), s[1]) for i, (w, s) in enumerate(zip(whole, short, strict=True))}
+    assert [g[1] > 0 for g in got.values()].count(True) == 3
+    assert {i for i, g in got.items() if g[4]} == set(range(2, 11))
+
+
 def test_anchors_do_not_depend_on_what_else_is_hashed(monkeypatch):
     """Hashes that differ in their lowest bits alone: whole hashes decide, the leftmost of equal ones wins."""
     rng = np.random.default_rng(4)
