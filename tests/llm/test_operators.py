@@ -712,6 +712,25 @@ def test_recall_of_short_lists(spark):
     assert met >= 0.9 * total
 
 
+@pytest.mark.parametrize("kind", ["scales", "ties", "huge"])
+def test_aq_is_exact_whatever_the_codebooks_fit(spark, kind):
+    """Vectors that the codes can't tell apart: beside far longer ones, at equal distances, or beyond what squares hold."""
+    x = np.random.default_rng(3).normal(size=(3000, 16))
+    if kind == "ties":
+        x = np.sign(x) * (1 + np.arange(3000) % 2)[:, None]
+    else:
+        x[::30] *= 1e7 if kind == "scales" else 1e200
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    frame = table(spark, [(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, id long")
+    got = op1_aq.search(frame, frame.where("vec_id % 100 = 1"), codebooks=4, words=16).collect()
+    want = set()
+    for q in range(1, 3000, 100):
+        far = np.sqrt(np.cumsum((x - x[q]) ** 2, axis=1)[:, -1])
+        near = [i for i in np.lexsort((np.arange(3000), far)) if i != q][:10]
+        want |= {(q, r + 1, int(i), float(far[i])) for r, i in enumerate(near)}
+    assert len(got) == 300 and {tuple(r) for r in got} == want
+
+
 def test_checkpoints_need_a_shared_folder_off_local_mode(spark):
     class Found:
         def __init__(self, **names):
