@@ -1,10 +1,14 @@
 """Versioned tables: writes, schema evolution, time travel, metadata tables, maintenance, catalog."""
 
+import collections
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 
 from quern.errors import CommitConflictError, NoSuchTableError, TableExistsError, UnsupportedFeatureError
 from quern.plans.explain import scan_report
+from quern.tables import maintenance
 from quern.tables.metadata_tables import KINDS
 
 
@@ -108,6 +112,25 @@ def test_metadata_tables_can_be_read_and_joined(session, partitioned, kind):
     assert n == expected.get(kind, n)
 
 
+def test_compaction_sorts_pieces_not_whole_files(session, monkeypatch):
+    """No task sorts a file's rows, not even those of one hot key; files are sorted within and between them."""
+    monkeypatch.setattr(maintenance, "PIECE_BYTES", 1 << 20, raising=False)
+    for k in range(6):
+        frame = session.spark.range(k, 120_000, 6).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 500 WHEN id % 1001 > 0 THEN id % 1001 END AS k", "repeat('v', id % 7) AS `odd.name`")
+        session.write(frame.coalesce(1)).mode("append").sortBy("k").saveAsTable("ns.pieces")
+    table = session.store.load(session.resolve("pieces"))
+    before, calls, write = session.table("pieces").collect(), [], session.store.write_files
+    monkeypatch.setattr(session.store, "write_files", lambda t, rows: calls.append(write(t, rows)) or calls[-1])
+    done = session.maintenance("ns.pieces").compact(targetFileSizeBytes=int(max(f.size for f in table.files()) * 2.2))
+    assert done == {"rewritten_files": 6, "added_files": 3} and collections.Counter(session.table("pieces").collect()) == collections.Counter(before)
+    assert len(calls[0]) >= 8 and max(f.rows for f in calls[0]) < 40_000
+    files = session.store.load(session.resolve("pieces")).files()
+    found = [[-1 if v is None else v for v in pq.read_table(f.path.removeprefix("file:")).column("c2").to_pylist()] for f in files]
+    found.sort(key=lambda v: (v[0], v[-1]))
+    assert len(found) == 3 and sum(found, []) == sorted(sum(found, [])) and min(map(len, found)) > 20_000
+    assert not any(session.store.files.exists(f.path) for f in calls[0])
+
+
 def test_compaction_and_expiry(session):
     for k in range(6):
         rows = [(3 * k + i, f"p{i % 2}", "v") for i in range(3)]
